@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,3 +144,7 @@ def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
 
 def schema(**kinds: str) -> T.StructType:
     return T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds.items()])
+
+
+def by(*keys: str, order: list) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*order)
