@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -45,6 +47,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, actions send at most n rows at once to Python: for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     path = getattr(df, "stored_at", None)

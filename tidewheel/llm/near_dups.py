@@ -185,7 +185,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     text = lambda s: texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}"))
     # The side with many partners comes last: its text is read once, not copied for each pair on the way.
     full = likely.join(text("b").hint("merge"), "b").join(text("a").hint("merge"), "a")
-    out = common.materialize(full.where(F.arrow_udf(_linked(percent), "boolean").asNondeterministic()("text_a", "text_b")).select("a", "b"), "dup-verified")
+    with common.arrow_rows(pairs.sparkSession, 128):
+        out = common.materialize(full.where(F.arrow_udf(_linked(percent), "boolean").asNondeterministic()("text_a", "text_b")).select("a", "b"), "dup-verified")
     common.release(likely)
     return out
 
@@ -244,7 +245,8 @@ def _texts(narrow: DataFrame, named: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(own))
 
     one = got.mapInArrow(right, got.schema).dropDuplicates(["key"])
-    return common.materialize(one, "dup-texts")
+    with common.arrow_rows(narrow.sparkSession, 512):
+        return common.materialize(one, "dup-texts")
 
 
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
