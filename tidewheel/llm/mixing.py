@@ -24,7 +24,7 @@ import heapq
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm import common
@@ -74,13 +74,16 @@ def sainte_lague(weights: Sequence[float], seats: int) -> list[int]:
     return got.tolist()
 
 
+def word_count(text_col: str) -> Column:
+    trimmed = F.btrim(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, common.BLANKS))).cast("bigint")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = 3, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(id, size, source_size, target, taken) of every row. Weights repeat over the sources in code point order, null last."""
     spark = docs.sparkSession
-    trimmed = F.btrim(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    size = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, common.BLANKS))).cast("bigint")
     source = F.col(source_col).cast("string")
-    sized = docs.select(F.col(id_col).alias("id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), size.alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), word_count(text_col).alias("size"))
     sized = common.materialize(sized, "mix-sizes")
     sources = sorted((r.no_source, r.source, int(r.words)) for r in sized.groupBy("no_source", "source").agg(F.sum("size").alias("words")).collect())
     sizes = [s[2] for s in sources]

@@ -125,7 +125,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sketches.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["id", "n", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["id", "hash", "n", "key", "sketch"])
 
 
 def _compatible(percent: int):
@@ -192,10 +192,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row."""
+    """(id, n_shingles, component_id, kept, text_hash) of every row; the hash tells rows of one id apart."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    sketched = common.materialize(narrow.mapInArrow(_sketched, common.schema(id=kind, n="bigint", key="binary", sketch="binary")), "dup-sketches")
+    sketched = common.materialize(narrow.withColumn("hash", F.xxhash64("text")).mapInArrow(_sketched, common.schema(id=kind, hash="bigint", n="bigint", key="binary", sketch="binary")), "dup-sketches")
     classes = sketched.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = common.materialize(classes, "dup-classes")
 
@@ -229,10 +229,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _verified(common.materialize(across, "dup-pairs"), classes, texts, percent)
     label = components(nodes, links.unionByName(more))
 
-    out = sketched.select("id", F.col("n").alias("n_shingles"), "key").join(label, "key", "left")
+    out = sketched.select("id", "hash", F.col("n").alias("n_shingles"), "key").join(label, "key", "left")
     out = out.join(classes.select("key", F.col("id").alias("own")), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.coalesce("label.id", "own"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("hash").alias("text_hash"))
 
 
 def _texts(narrow: DataFrame, named: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _texts(narrow: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
