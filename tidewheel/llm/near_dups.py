@@ -17,11 +17,11 @@ similarity alone for sets of given sizes.
    the likelihood-ratio test rejects a similarity of ``threshold`` or more by a
    wide margin (``LIKELIHOOD_MARGIN``, about 1e-9), otherwise it is verified on
    the full sets.
-5. Components of the verified links. Then, for buckets with members of
-   different components, the members outside the bucket's largest component
-   are paired with all that are in another component, so no link between
-   components is lost; verified, these give the final components. Pairs inside
-   one component are never formed, so a bucket of copies stays linear.
+5. Components of the verified links. Where a bucket holds members of different
+   components, these are compared on their full sets, in blocks of bounded size
+   and through inverted indexes, so no link between components is lost and no
+   pair becomes a row. A bucket of copies is one component after step 4 and
+   costs nothing here.
 
 Sets hold 64-bit fingerprints of shingles; a set's identity is 128 bits.
 
@@ -51,6 +51,8 @@ BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 PERCENT = 75
 LIKELIHOOD_MARGIN = 18.0
+#: Shingles of a block, of which a task that looks for links between components holds two.
+BLOCK_SHINGLES = 400_000
 #: Shingles whose register values are taken at once, for bounded memory on long texts.
 BLOCK = 2048
 
@@ -200,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = common.materialize(classes, "dup-classes")
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    member = classes.select("key", F.explode(bands).alias("bucket"))
+    member = classes.select("key", "n", F.explode(bands).alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "first")
     member = common.materialize(member.join(shared, "bucket"), "dup-buckets")  # only buckets that two classes or more share
 
@@ -216,17 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(star, classes, texts, percent)
     label = components(nodes, links)
 
-    # Buckets whose members are in different components still: everything outside the largest one, against all others.
-    of = member.select("bucket", "key").join(label.select("key", F.col("label.key").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    of = common.materialize(of, "dup-open")
-    sizes = of.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("c", F.struct("size", "c")).alias("largest")).where("kinds > 1").select("bucket", "largest")
-    still = common.materialize(of.join(mixed, "bucket"), "dup-mixed")
-    few = still.where(F.col("c") != F.col("largest")).select("bucket", F.col("key").alias("x"), F.col("c").alias("cx"))
-    across = few.join(still.select("bucket", "key", "c"), "bucket").where(F.col("c") != F.col("cx"))
-    across = across.select(F.least("x", "key").alias("b"), F.greatest("x", "key").alias("a")).distinct()
-    across = across.join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = _verified(common.materialize(across, "dup-pairs"), classes, texts, percent)
+    more = _between_components(member, label, texts, percent)
     label = components(nodes, links.unionByName(more))
 
     out = sketched.select("id", "hash", F.col("n").alias("n_shingles"), "key").join(label, "key", "left")
@@ -235,6 +227,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("hash").alias("text_hash"))
 
 
+def _between_components(member: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components which share a bucket; of many that join the same two, one from a task.
+
+    The members of buckets with several components form groups, connected by
+    such buckets. A group is cut into size classes by the factor 4 / 3 (linked
+    sets are in one class or in neighbours) and these into blocks of about
+    ``BLOCK_SHINGLES``. A task holds two blocks and counts the shingles that
+    their texts share through an inverted index; pairs are never rows.
+    """
+    of = member.select("bucket", "key", "n").join(label.select("key", F.col("label.key").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    of = common.materialize(of, "dup-open")
+    mixed = of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("key").alias("first")).where("low != high").select("bucket", "first")
+    still = common.materialize(of.join(mixed, "bucket"), "dup-still")
+    rest = common.materialize(still.select("key", "n", "c").distinct(), "dup-rest")
+    links = still.where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    group = components(rest.select("key", F.struct("key").alias("label")), links).select("key", F.col("label.key").alias("g"))
+    size_class = F.floor(F.log(F.col("n") * 1.0) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    rest = common.materialize(rest.join(group, "key").withColumn("s", size_class), "dup-rest")
+    blocks = rest.groupBy("g", "s").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    own = rest.join(blocks, ["g", "s"]).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    own = own.join(blocks.select("g", (F.col("s") - 1).alias("s"), F.col("blocks").alias("above")), ["g", "s"], "left")
+    own = own.join(blocks.select("g", (F.col("s") + 1).alias("s"), F.col("blocks").alias("below")), ["g", "s"], "left")
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def task(s1, i1, s2, i2, side):
+        return F.struct(s1.alias("s1"), i1.alias("i1"), s2.alias("s2"), i2.alias("i2"), side.alias("side"))
+
+    s, i = F.col("s"), F.col("i")
+    tasks = F.concat(
+        F.transform(upto(F.col("blocks")), lambda j: task(s, F.least(i, j), s, F.greatest(i, j), F.when(i == j, 3).when(i < j, 1).otherwise(2))),
+        F.transform(upto(F.col("above")), lambda j: task(s, i, s + 1, j, F.lit(1))),
+        F.transform(upto(F.col("below")), lambda j: task(s - 1, j, s, i, F.lit(2))),
+    )
+    dealt = own.select("key", "c", "g", F.explode(tasks).alias("task")).select("key", "c", "g", "task.*").join(texts, "key")
+    out = dealt.groupBy("g", "s1", "i1", "s2", "i2").applyInArrow(_block_links(percent), common.schema(a="binary", b="binary"))
+    return common.materialize(out, "dup-verified")
+
+
+def _block_links(percent: int):
+    def links(rows: pa.Table) -> pa.Table:
+        keys, comps, sides = rows.column("key").to_pylist(), rows.column("c").to_pylist(), rows.column("side").to_pylist()
+        left, right = [k for k, x in enumerate(sides) if x & 1], [k for k, x in enumerate(sides) if x & 2]
+        sets = [shingles(t.as_py()) for t in rows.column("text").cast(pa.binary())]
+        found: list[tuple[bytes, bytes]] = []
+        if left and right:
+            parent = {c: c for c in comps}
+
+            def root(c: bytes) -> bytes:
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            # The right side's inverted index: for each shingle where its documents begin and how many there are.
+            size = np.array([len(sets[k]) for k in right])
+            every, owner = np.concatenate([sets[k] for k in right]), np.repeat(np.arange(len(right)), size)
+            order = np.argsort(every, kind="stable")
+            owner = owner[order]
+            distinct, start, count = np.unique(every[order], return_index=True, return_counts=True)
+            for k in left:
+                at = np.searchsorted(distinct, sets[k])
+                at[at == len(distinct)] = 0
+                at = at[distinct[at] == sets[k]]
+                n = count[at]
+                into = np.repeat(start[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(at) else np.zeros(0, dtype=np.int64)
+                both = np.bincount(owner[into], minlength=len(right))
+                for j in np.flatnonzero(100 * both >= percent * (len(sets[k]) + size - both)):
+                    other = right[j]
+                    x, y = root(comps[k]), root(comps[other])
+                    if x != y:
+                        parent[x] = y
+                        found.append((keys[k], keys[other]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return links
+
+
 def _texts(narrow: DataFrame, named: DataFrame) -> DataFrame:
     """(key, text) for the classes that are in a pair; rows that share an id are told apart by their sets."""
     got = narrow.join(named, F.col("id").eqNullSafe(F.col("__id"))).select("key", "text")
