@@ -153,29 +153,35 @@ def _linked(percent: int):
     return test
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, label): the smallest label reachable. nodes: key and start label, which tells keys apart in order; links: a, b.
-
-    Each round every node takes the smallest label among itself, its
-    neighbours and the node that its label names (pointer jumping), until no
-    label changes. Labels go through partial aggregation, so a node with very
-    many neighbours is no bottleneck.
+def components(links: DataFrame) -> DataFrame:
+    """(key, root): the smallest key reachable over links (a, b), for all keys in a link.
+
+    Each round every key points to its smallest neighbour, pointers jump to
+    their ends, and links are contracted to the ends; those inside one
+    component vanish, so the links left fall fast and the rounds are
+    logarithmic in number. Minima go through partial aggregation, so a key
+    with very many neighbours is no bottleneck.
     """
-    both = common.materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dup-links")
-    touched = both.select(F.col("a").alias("key")).distinct()
-    state = common.materialize(nodes.join(touched, "key").select("key", "label"), "dup-labels")
-    while True:
-        near = both.join(state.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), "label")
-        low = state.union(near).groupBy("key").agg(F.min("label").alias("label"))
-        jump = state.select(F.col("key").alias("named"), F.col("label").alias("next"))
-        after = low.join(jump, F.col("label.key") == F.col("named"), "left").select("key", F.least("label", "next").alias("label"))
-        after = common.materialize(after, "dup-labels")
-        changed = after.join(state.withColumnRenamed("label", "old"), "key").where(F.col("label") != F.col("old")).limit(1).count()
-        common.release(state)
-        state = after
-        if not changed:
-            common.release(both)
-            return state
+    edges = common.materialize(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dup-edges")
+    names = common.materialize(edges.select(F.col("a").alias("key")).union(edges.select(F.col("b").alias("key"))).distinct().withColumn("root", F.col("key")), "dup-names")
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("key"), F.col("a").alias("other")))
+        low = common.materialize(both.groupBy("key").agg(F.min("other").alias("low")).select("key", F.least("key", "low").alias("low")), "dup-low")
+        while True:
+            end = low.select(F.col("key").alias("low"), F.col("low").alias("end"))
+            jumped = common.materialize(low.join(end, "low").select("key", F.col("end").alias("low"), (F.col("end") != F.col("low")).alias("moved")), "dup-low")
+            common.release(low)
+            low, moved = jumped, jumped.where("moved").limit(1).count()
+            if not moved:
+                break
+        ends = lambda s, x: low.select(F.col("key").alias(s), F.col("low").alias(x))  # noqa: B023, E731
+        left = edges.join(ends("a", "x"), "a").join(ends("b", "y"), "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        renamed = names.join(ends("root", "x"), "root", "left").select("key", F.coalesce("x", "root").alias("root"))
+        old = edges, names, low
+        edges, names = common.materialize(left, "dup-edges"), common.materialize(renamed, "dup-names")
+        for df in old:
+            common.release(df)
+    return names
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -214,20 +220,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sketched.select("id", "key").join(spoken, "key").where(F.col("id").eqNullSafe(F.col("__id"))).select("key", F.col("id").alias("__id")).distinct()
     texts = _texts(narrow, named)
 
-    nodes = classes.select("key", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("label"))
     links = _verified(star, classes, texts, percent)
-    label = components(nodes, links)
+    joined = components(links)
 
-    more = _between_components(member, label, texts, percent)
-    label = components(nodes, links.unionByName(more))
+    more = _between_components(member, joined, texts, percent)
+    joined = components(links.unionByName(more))
+    # The component's name is the smallest id in it; null only where there is no other.
+    least = joined.join(classes.select("key", "id"), "key").groupBy("root").agg(F.min("id").alias("least"))
+    label = joined.join(least, "root").select("key", "least")
 
     out = sketched.select("id", "hash", F.col("n").alias("n_shingles"), "key").join(label, "key", "left")
     out = out.join(classes.select("key", F.col("id").alias("own")), "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.coalesce("label.id", "own"))
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.coalesce("least", "own"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("hash").alias("text_hash"))
 
 
-def _between_components(member: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _between_components(member: DataFrame, joined: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components which share a bucket; of many that join the same two, one from a task.
 
     The members of buckets with several components form groups, connected by
@@ -236,13 +244,13 @@ def _between_components(member: DataFrame, label: DataFrame, texts: DataFrame, p
     ``BLOCK_SHINGLES``. A task holds two blocks and counts the shingles that
     their texts share through an inverted index; pairs are never rows.
     """
-    of = member.select("bucket", "key", "n").join(label.select("key", F.col("label.key").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    of = member.select("bucket", "key", "n").join(joined.withColumnRenamed("root", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
     of = common.materialize(of, "dup-open")
     mixed = of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("key").alias("first")).where("low != high").select("bucket", "first")
     still = common.materialize(of.join(mixed, "bucket"), "dup-still")
     rest = common.materialize(still.select("key", "n", "c").distinct(), "dup-rest")
     links = still.where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    group = components(rest.select("key", F.struct("key").alias("label")), links).select("key", F.col("label.key").alias("g"))
+    group = components(links).withColumnRenamed("root", "g")
     size_class = F.floor(F.log(F.col("n") * 1.0) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     rest = common.materialize(rest.join(group, "key").withColumn("s", size_class), "dup-rest")
     blocks = rest.groupBy("g", "s").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
