@@ -267,6 +267,8 @@ class Stream:
         return self._keyed(folds.distinct)
 
     def take(self, n: int) -> Stream:
+        if n < 0:
+            raise ValueError("n must not be negative")
         return self._keyed(folds.take, n)
 
     def accumulate(self) -> Stream:
@@ -294,7 +296,7 @@ class Stream:
         return self._then(timed.debounce, self.graph.keys, q, timers=lambda run: self._shifted(run, q))
 
     def throttle(self, interval: int) -> Stream:
-        return self._keyed(timed.throttle, interval)
+        return self._keyed(timed.throttle, duration(interval, 0))
 
     def _shifted(self, run: Run, by: int) -> DataFrame:
         return run.frame(self).select(*self.graph.keys, (F.col("t") + by).alias("t"), F.lit(0).alias("sub"))
@@ -312,7 +314,7 @@ class Stream:
     def window_sliding(self, size: int, slide: int) -> Stream:
         d, s = duration(size), duration(slide)
         # Armed from a value on until the boundary at which nothing is left of it.
-        due = lambda run: run.frame(self).select(*self.graph.keys, (F.explode(F.expr(f"sequence((t - {run.start}) div {s} + 1, (t - {run.start} + {d - 1}) div {s} + 1)")) * s + run.start).alias("t"), F.lit(0).alias("sub"))
+        due = lambda run: run.frame(self).select(*self.graph.keys, F.explode(F.expr(f"transform(sequence((t - {run.start}) div {s} + 1, (t - {run.start} + {d - 1}) div {s} + 1), k -> k * {s} + {run.start})")).alias("t"), F.lit(0).alias("sub"))
         return self.graph._add(lambda run: windows.sliding(run.frame(self), self.graph.keys, d, s, run.start), due)
 
     def with_(self, other: Stream, f: combine.Two) -> Stream:

@@ -60,7 +60,7 @@ def sliding(frame: DataFrame, keys: Sequence[str], size: int, slide: int, start:
 
 
 def _sparse(frame: DataFrame, keys: Sequence[str], size: int, slide: int, start: int) -> DataFrame:
-    """A boundary is armed by the first value that comes while none is; values wait until it passes or they grow too old."""
+    """A boundary is armed by the first value that comes while none is; what is held goes when it passes."""
     import pandas as pd
     from pyspark.sql import types as T
 
@@ -73,10 +73,10 @@ def _sparse(frame: DataFrame, keys: Sequence[str], size: int, slide: int, start:
 
         def fire(at: int) -> None:
             nonlocal held, armed
-            held = [(t, v) for t, v in held if t > at - size]
-            if held:
-                out.append((*key, at, 0, [v for _, v in held]))
-            armed = at + slide if held else None
+            kept = [v for t, v in held if t > at - size]
+            if kept:
+                out.append((*key, at, 0, kept))
+            held, armed = [], None  # with slide >= size no value is in two windows
 
         for t, sub, v in rows.sort_values(["t", "sub"])[["t", "sub", "v"]].itertuples(index=False, name=None):
             while armed is not None and (armed < t or (armed == t and sub > 0)):
