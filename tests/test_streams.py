@@ -46,6 +46,19 @@ def test_stateless_and_folds(spark):
         run.frame(s.filter(lambda v: v + 1))
 
 
+def test_overflow(spark):
+    top, low = 2**63 - 1, -(2**63)
+    g = Graph(spark)
+    s = numbers(g, [(0, top), (10, 1), (20, low), (30, low), (40, -5)])
+    run = g.run()
+    assert trace(run, s.sum("wrap")) == [(0, top), (10, low), (20, 0), (30, low), (40, top - 4)]
+    assert trace(run, s.delta("wrap")) == [(10, 2 - 2**63), (20, top), (30, 0), (40, top - 4)]
+    with pytest.raises(Exception, match="OVERFLOW"):
+        trace(run, s.sum())
+    with pytest.raises(ValueError):
+        trace(run, s.sum("ignore"))
+
+
 def test_windows_and_timers(spark):
     g = Graph(spark)
     s = g.replay_from_iter([(t * MS, v) for t, v in READINGS], "double")

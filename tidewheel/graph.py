@@ -248,8 +248,8 @@ class Stream:
     def count(self) -> Stream:
         return self._keyed(folds.count)
 
-    def sum(self) -> Stream:
-        return self._keyed(folds.sum_)
+    def sum(self, on_overflow: str = "fail") -> Stream:
+        return self._keyed(folds.sum_, on_overflow)
 
     def mean(self) -> Stream:
         return self._keyed(folds.mean)
@@ -260,8 +260,8 @@ class Stream:
     def min(self) -> Stream:
         return self._keyed(folds.extreme, "min")
 
-    def delta(self) -> Stream:
-        return self._keyed(folds.delta)
+    def delta(self, on_overflow: str = "fail") -> Stream:
+        return self._keyed(folds.delta, on_overflow)
 
     def distinct(self) -> Stream:
         return self._keyed(folds.distinct)

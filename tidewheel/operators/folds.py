@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +18,29 @@ def count(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     return frame.withColumn("v", F.count(F.lit(1)).over(running(keys)))
 
 
-def sum_(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _wrapped(exact: Column) -> Column:
+    """A whole number of any size as 64-bit arithmetic holds it, modulo 2^64 and signed."""
+    span = F.lit(Decimal(2**64))
+    rest = F.pmod(exact.cast("decimal(38,0)"), span)
+    return F.when(rest >= F.lit(Decimal(2**63)), rest - span).otherwise(rest).cast("bigint")
+
+
+def _checked(on_overflow: str, kind: T.DataType) -> bool:
+    """Whether overflow wraps, which only 64-bit integers can do."""
+    if on_overflow not in ("fail", "wrap"):
+        raise ValueError("on_overflow must be fail or wrap")
+    return on_overflow == "wrap" and isinstance(kind, T.LongType)
+
+
+def sum_(frame: DataFrame, keys: Sequence[str], on_overflow: str = "fail") -> DataFrame:
     """Numbers add up, strings and arrays are joined."""
     kind, w = frame.schema["v"].dataType, running(keys)
     if isinstance(kind, T.StringType):
         return frame.withColumn("v", F.array_join(F.collect_list("v").over(w), ""))
     if isinstance(kind, T.ArrayType):
         return frame.withColumn("v", F.flatten(F.collect_list("v").over(w)))
+    if _checked(on_overflow, kind):
+        return frame.withColumn("v", _wrapped(F.sum(F.col("v").cast("decimal(28,0)")).over(w)))
     return frame.withColumn("v", F.sum("v").over(w))
 
 
@@ -36,10 +53,12 @@ def extreme(frame: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
     return frame.withColumn("v", {"max": F.max, "min": F.min}[kind]("v").over(running(keys)))
 
 
-def delta(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+def delta(frame: DataFrame, keys: Sequence[str], on_overflow: str = "fail") -> DataFrame:
     w = ordered(keys)
+    wide = _checked(on_overflow, frame.schema["v"].dataType)
     rows = frame.withColumn("__before", F.lag("v").over(w)).withColumn("__r", F.row_number().over(w)).where("__r > 1")
-    return rows.withColumn("v", F.col("v") - F.col("__before")).drop("__before", "__r")
+    change = _wrapped(F.col("v").cast("decimal(28,0)") - F.col("__before").cast("decimal(28,0)")) if wide else F.col("v") - F.col("__before")
+    return rows.withColumn("v", change).drop("__before", "__r")
 
 
 def distinct(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
