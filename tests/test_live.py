@@ -1,13 +1,15 @@
 """Live operators, fed one file a batch, against the same operators over the whole table."""
 
+import asyncio
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewheel.errors import AsyncIoError, ChannelError
 from tidewheel.operators import folds, timed, windows
-from tidewheel.streaming import live
+from tidewheel.streaming import async_io, live
 
 STEPS = "k string, t bigint, sub int, v bigint"
 
@@ -80,3 +82,61 @@ def test_idle_keys_are_flushed(spark, tmp_path):
         time.sleep(0.2)
     query.stop()
     assert out == [("a", 8, 0, 8)]
+
+
+def test_producers(spark, tmp_path):
+    def f(sender):
+        for i in range(5):
+            sender.send(i)
+            if i == 2:
+                sender.flush()
+
+    sender, stream = async_io.producer(spark, str(tmp_path / "bursts"), "bigint", f)
+    got = []
+    query = stream.writeStream.foreachBatch(lambda rows, _: got.extend((r.t, r.sub, r.v) for r in rows.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+    sender.finish(query, 60)
+    assert not query.isActive and [v for *_, v in sorted(got)] == [[0, 1, 2], [3, 4]]
+    with pytest.raises(ChannelError):
+        sender.send(9)
+
+    async def items():
+        yield 1
+        raise ValueError("no more")
+
+    sender, stream = async_io.produce_async(spark, str(tmp_path / "async"), "bigint", items)
+    with pytest.raises(AsyncIoError, match="no more"):
+        sender.join(60)
+    assert [r.v for r in spark.read.parquet(str(tmp_path / "async")).collect()] == [[1]]
+
+
+def test_consumers(spark):
+    frame = spark.createDataFrame([(20, 0, "c"), (10, 1, "b"), (10, 0, "a")], "t bigint, sub int, v string")
+    got = []
+
+    async def take(rows):
+        async for t, v in rows:
+            got.append((t, v))
+            await asyncio.sleep(0)
+
+    async_io.consume_async(frame, take, config=async_io.Config(capacity=1))
+    assert got == [(10, "a"), (10, "b"), (20, "c")]
+
+    async def fails(rows):
+        async for _, v in rows:
+            if v == "b":
+                raise KeyError(v)
+
+    async def leaves(rows):
+        await anext(rows)
+
+    async def hangs(rows):
+        async for _ in rows:
+            pass
+        await asyncio.sleep(30)
+
+    for consumer, kind in ((fails, "task"), (leaves, "task dropped"), (hangs, "shutdown timeout")):
+        with pytest.raises(AsyncIoError) as e:
+            async_io.consume_async(frame, consumer, config=async_io.Config(capacity=1, timeout=0.5))
+        assert e.value.kind == kind
+    with pytest.raises(ValueError):
+        async_io.Config(capacity=0)

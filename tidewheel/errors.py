@@ -19,3 +19,11 @@ class ChannelError(RuntimeError):
 
 class LiveOnly(ChannelError):
     """The source needs a live run."""
+
+
+class AsyncIoError(RuntimeError):
+    """A producer or consumer task failed, ended early or did not end in time; kind says which."""
+
+    def __init__(self, kind: str, cause: Exception | str) -> None:
+        super().__init__(f"{kind}: {cause}")
+        self.kind, self.cause = kind, cause

@@ -14,10 +14,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.errors import GraphMismatch
+from tidewheel.errors import ChannelError, GraphMismatch, StreamError
 from tidewheel.functions.times import duration
-from tidewheel.operators import combine, folds, stateless, timed, windows
-from tidewheel.plans.frames import STEP, numbered
+from tidewheel.operators import combine, custom, folds, stateless, timed, windows
+from tidewheel.plans.frames import STEP, align, numbered
+from tidewheel.sources import files
 
 
 @dataclass(frozen=True)
@@ -66,8 +67,9 @@ class Summary:
 class Run:
     """A bounded run. Frames are lazy; the last step of the run is found only where something asks for it."""
 
-    def __init__(self, graph: Graph, spec: Replay, last: tuple[int, int] | None = None) -> None:
-        self.graph, self.start, self.last = graph, spec.start, last
+    def __init__(self, graph: Graph, spec: Replay, last: tuple[int, int] | None = None, on_error: str = "fail", raw: bool = False) -> None:
+        self.graph, self.spec, self.start, self.last, self.on_error, self.raw = graph, spec, spec.start, last, on_error, raw
+        self._halted: DataFrame | None = None
         self.end = spec.stop.value if spec.stop.kind == "at" else spec.start + spec.stop.value if spec.stop.kind == "after" else None
         self.built: dict[int, DataFrame] = {}
         self._ended: DataFrame | None = None
@@ -78,7 +80,41 @@ class Run:
         if self.last is not None:
             t, sub = self.last
             frame = frame.where((F.col("t") < t) | ((F.col("t") == t) & (F.col("sub") <= sub)))
-        return frame
+        halted = self.halted()
+        if halted is None:
+            return frame
+        until = F.struct(*STEP) <= F.struct(F.col("__h.t"), F.col("__h.sub"))
+        if self.graph.keys:
+            both = frame.join(halted.select(*self.graph.keys, F.struct(*STEP).alias("__h")), self.graph.keys, "left")
+        else:
+            both = frame.withColumn("__h", halted.select(F.struct(*STEP)).scalar())
+        return both.where(F.col("__h").isNull() | until).drop("__h")
+
+    def halted(self) -> DataFrame | None:
+        """(keys..., t, sub, node, note): where an operator ended the run, for each key; note is the message of a failure.
+
+        Operators are causal, so the first such step of a run in which failing
+        values are left out is the run's own. None where no operator can end it.
+        """
+        nodes = [s for s in self.graph.nodes if s.halts is not None and (self.on_error == "prefix" or s.may_stop)]
+        if self.raw or not nodes:
+            return None
+        if self._halted is None:
+            raw, out = Run(self.graph, self.spec, self.last, self.on_error, raw=True), None
+            for s in nodes:
+                part = raw.cut(s.halts(raw)).select(*self.graph.keys, *STEP, F.lit(s.id).alias("node"), "note")
+                out = part if out is None else out.unionByName(part)
+            first = F.min_by(F.struct(*STEP, "node", "note"), F.struct(*STEP, F.col("note").isNull(), "node")).alias("h")
+            firsts = out.groupBy(*self.graph.keys).agg(first) if self.graph.keys else out.agg(first).where("h is not null")
+            self._halted = firsts.select(*self.graph.keys, "h.*")
+            if not self.graph.keys:  # one row: found once, not in every frame
+                self._halted = self.graph.spark.createDataFrame(self._halted.collect(), self._halted.schema)
+        return self._halted
+
+    def failures(self) -> DataFrame:
+        """(keys..., t, sub, node, note) of the runs that failed."""
+        halted = self.halted()
+        return self.graph.spark.createDataFrame([], "t bigint, sub int, node int, note string") if halted is None else halted.where("note is not null")
 
     def frame(self, stream: Stream) -> DataFrame:
         if stream.graph is not self.graph:
@@ -108,27 +144,109 @@ class Run:
         if self._ended is None:
             steps = self.steps()
             ended = F.max("t").alias("ended")
-            self._ended = steps.groupBy(*self.graph.keys).agg(ended) if self.graph.keys else steps.agg(ended)
+            rows = steps.groupBy(*self.graph.keys).agg(ended) if self.graph.keys else steps.agg(ended)
+            failed = F.lit(False)
+            if self.halted() is not None and self.graph.keys:
+                rows = rows.join(self.failures().select(*self.graph.keys, F.lit(True).alias("__failed")), self.graph.keys, "left")
+                failed = F.coalesce("__failed", failed)
+            elif self.halted() is not None:
+                failed = F.lit(not self.failures().isEmpty())
+            self._ended = rows.select(*self.graph.keys, "ended", failed.alias("failed"))
         return self._ended
 
     def summary(self) -> Summary:
+        """Of a run that did not fail."""
+        self.check()
         got = self.steps().agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).first()
         return Summary(got.n + self.graph.has_final, self.start, self.start if got.t is None else got.t)
 
+    def check(self) -> None:
+        """Raises the failure that ended a run with ``on_error="prefix"``; with keys the first one of any key."""
+        if self.halted() is not None and (bad := self.failures().orderBy(*STEP, "node").first()):
+            raise StreamError(str(bad.node), bad.note)
+
+    def drive(self) -> Summary:
+        """Calls every sink's function with (value, t), in the order of steps and, within a step, of the sinks.
+
+        With ``on_error="prefix"`` the sinks get all that comes before a
+        failure, which is raised then. A sink that fails lets the others of
+        its step still run.
+        """
+        if self.graph.keys:
+            raise ValueError("sinks take the steps of a graph without keys; write the frames of a keyed one")
+        sinks = self.graph.sinks
+        if sinks:
+            rows = align([self.frame(source) for _, source, _ in sinks], []).orderBy(*STEP)
+            for row in rows.toLocalIterator(prefetchPartitions=True):
+                failure = None
+                for i, (node, _, f) in enumerate(sinks):
+                    if row[f"f{i}"]:
+                        try:
+                            f(row[f"l{i}"].v, row.t)
+                        except Exception as cause:
+                            failure = failure or (node, cause)
+                if failure is not None:
+                    raise StreamError(str(failure[0].id), failure[1]) from failure[1]
+        return self.summary()
+
+    def walk(self, *streams: Stream) -> Steps:
+        """Manual stepping; the given streams' values can be looked at on the way."""
+        return Steps(self, streams)
+
     def summary_frame(self) -> DataFrame:
         """(keys..., steps, ended_at)."""
         got = [(F.count(F.lit(1)) + int(self.graph.has_final)).alias("steps"), F.max("t").alias("ended_at")]
         return self.steps().groupBy(*self.graph.keys).agg(*got) if self.graph.keys else self.steps().agg(*got)
 
 
+class Steps:
+    """A run taken step by step: ``step`` moves to the next one and says whether there was one."""
+
+    def __init__(self, run: Run, streams: Sequence[Stream]) -> None:
+        if run.graph.keys:
+            raise ValueError("only a graph without keys is one sequence of steps")
+        if run.graph.running:
+            raise RuntimeError("the graph is running")
+        self.run, self.now = run, run.start
+        self._at = {s.id: i + 1 for i, s in enumerate(streams)}
+        frames = [run.steps().withColumn("v", F.lit(True)), *[run.frame(s) for s in streams]]
+        self._rows = align(frames, []).orderBy(*STEP).toLocalIterator(prefetchPartitions=True)
+        self._row: Any = None
+        run.graph.running = True
+
+    def step(self) -> bool:
+        if not self.run.graph.running:
+            raise RuntimeError("the run has ended")
+        row = next(self._rows, None)
+        if row is None:
+            return False
+        self._row, self.now = row, row.t
+        return True
+
+    def fired(self, stream: Stream) -> bool:
+        return self._row is not None and bool(self._row[f"f{self._at[stream.id]}"])
+
+    def peek(self, stream: Stream) -> Any:
+        """The latest value, None before the first."""
+        held = None if self._row is None else self._row[f"l{self._at[stream.id]}"]
+        return None if held is None else held.v
+
+    def end(self) -> Summary:
+        """The summary of the whole run; a failure is raised."""
+        self.run.graph.running = False
+        return self.run.summary()
+
+
 class Graph:
     def __init__(self, spark: SparkSession, keys: Sequence[str] = ()) -> None:
         self.spark, self.keys, self.nodes, self.has_final, self.running = spark, list(keys), [], False, False
+        self.sinks: list[tuple[Stream, Stream, Callable[[Any, int], Any]]] = []
 
-    def _add(self, build: Callable[[Run], DataFrame], timers: Callable[[Run], DataFrame] | None = None) -> Stream:
+    def _add(self, build: Callable[[Run], DataFrame], timers: Callable[[Run], DataFrame] | None = None, halts: Callable[[Run], DataFrame] | None = None, may_stop: bool = False) -> Stream:
+        """halts: (keys..., t, sub, note) where the node would end the run, note null for a clean stop."""
         if self.running:
             raise RuntimeError("nodes can't be added while the graph runs")
-        stream = Stream(self, len(self.nodes), build, timers)
+        stream = Stream(self, len(self.nodes), build, timers, halts, may_stop)
         self.nodes.append(stream)
         return stream
 
@@ -163,27 +281,112 @@ class Graph:
 
         return self._add(build, build)
 
-    def replay_from_iter(self, items: Iterable[tuple[int, Any]], kind: str) -> Stream:
-        """(time, value) pairs in order; an item behind its predecessor fails the run."""
-        rows, before = [], None
+    def replay_from_iter(self, items: Iterable[tuple[int, Any]], kind: str, on_error: str = "fail") -> Stream:
+        """(time, value) pairs in order; an item behind its predecessor fails the run.
+
+        With ``on_error="prefix"`` it does so at the predecessor's step, which
+        still counts, in runs that keep what comes before a failure.
+        """
+        rows, before, note = [], None, None
         for i, (t, v) in enumerate(items):
             if before is not None and t < before:
-                raise ValueError(f"item {i} at {t} is behind the run at {before}")
+                note = f"item {i} at {t} is behind the run at {before}"
+                if on_error != "prefix":
+                    raise ValueError(note)
+                break
             rows.append((i, t, v))
             before = t
-        return self.replay(self.spark.createDataFrame(rows, f"i bigint, t bigint, v {kind}"), "t", "v", ["i"])
+        source = self.replay(self.spark.createDataFrame(rows, f"i bigint, t bigint, v {kind}"), "t", "v", ["i"])
+        if note is not None:
+            return self._failing(source, lambda: note)
+        return source
+
+    def replay_from_csv(self, path: str, schema: str, t: Column | str, v: Column | str) -> Stream:
+        """A CSV file with a header, in file order. A malformed row fails the run; with ``on_error="prefix"`` the rows before it stay."""
+        rows = files.read_csv(self.spark, path, schema, "keep")
+        bad = rows.where("error is not null").agg(F.min("line").alias("line"), F.min_by("error", "line").alias("error"))
+        first = bad.select("line").scalar()
+        good = rows.where(F.coalesce(F.col("line") < first, F.lit(True)))
+        source = self.replay(good, t, v, ["line"])
+        return self._failing(source, lambda: bad.first().error)
+
+    def _failing(self, source: Stream, note: Callable[[], str | None]) -> Stream:
+        """A source whose next item can't be read: the run fails at the last step that it has."""
+
+        def build(run: Run) -> DataFrame:
+            message = None if run.on_error == "prefix" else note()
+            if message is not None:
+                raise StreamError(str(source.id), message)
+            return run.frame(source)
+
+        def halts(run: Run) -> DataFrame:
+            message = note()
+            last = run.frame(source).agg(F.max(F.struct(*STEP)).alias("s"))
+            step = F.coalesce(F.col("s"), F.struct(F.lit(run.start).cast("bigint").alias("t"), F.lit(-1).alias("sub")))
+            rows = last.select(step.alias("s"), F.lit(message).cast("string").alias("note")).where("note is not null")
+            return rows.select("s.t", "s.sub", "note")
+
+        return self._add(build, None, halts)
 
     def replay_from_log(self, recorded: DataFrame) -> Stream:
         """Recorded rows with the steps they had."""
         return self._add(lambda run: recorded.select(*self.keys, *STEP, "v"), lambda run: recorded.select(*self.keys, *STEP))
 
-    def run(self, spec: Replay | None = None) -> Run:
+    def operator(self, inputs: Sequence[tuple[Stream, str]], make: Callable[[], Any], kind: str, finalize: bool = False, may_stop: bool = False) -> Stream:
+        """An operator of one's own, see ``operators.custom``. inputs: streams, each with "on" or "watch".
+
+        finalize: a last call at the end of a run that did not fail.
+        may_stop: it may call ``ctx.stop``, which ends the run for all nodes.
+        """
+        if not inputs or any(how not in ("on", "watch") for _, how in inputs):
+            raise ValueError("inputs must be streams with on or watch")
+        if any(s.graph is not self for s, _ in inputs):
+            raise GraphMismatch("streams of different graphs")
+        on = [how == "on" for _, how in inputs]
+        number = len(self.nodes)
+
+        def rows(run: Run, final: bool) -> DataFrame:
+            frames = [run.frame(s) for s, _ in inputs]
+            bounded = final and (finalize or run.halted() is not None)
+            ended = run.ended() if bounded else None
+            raises = str(number) if run.on_error == "fail" else None
+            return custom.operate(frames, on, self.keys, make, kind, run.start, run.end, ended, raises, finalize)
+
+        def kept(run: Run, final: bool, *kinds: int) -> DataFrame:
+            return rows(run, final).where(F.col("kind").isin(*kinds))
+
+        stream = self._add(
+            lambda run: kept(run, not run.raw, custom.VALUE).select(*self.keys, *STEP, "v"),
+            lambda run: kept(run, False, custom.TIMER).select(*self.keys, *STEP),
+            lambda run: kept(run, False, custom.STOPPED, custom.FAILED).select(*self.keys, *STEP, "note"),
+            may_stop,
+        )
+        self.has_final = self.has_final or finalize
+        return stream
+
+    def source_worker(self, build: Callable[[Graph], Stream]) -> Stream:
+        """A source built in a child graph, inlined: its values come in bursts; the run must end at a time."""
+        out = build(self)
+
+        def sure(run: Run) -> DataFrame:
+            if run.end is None:
+                raise ChannelError("a source worker needs a run that ends at a time")
+            return run.frame(out)
+
+        return self._add(sure).bursts()
+
+    def run(self, spec: Replay | None = None, on_error: str = "fail") -> Run:
+        """on_error: ``fail`` ends the job; ``prefix`` keeps what comes before the first failing step, see ``Run.failures``."""
+        if on_error not in ("fail", "prefix"):
+            raise ValueError("on_error must be fail or prefix")
+        if self.running:
+            raise RuntimeError("the graph is running")
         spec = spec or Replay()
         if spec.stop.kind == "steps":
-            whole = Run(self, Replay(spec.start))
+            whole = Run(self, Replay(spec.start), on_error=on_error)
             nth = whole.steps().select(*STEP).distinct().orderBy(*STEP).limit(spec.stop.value).agg(F.max(F.struct(*STEP)).alias("s")).first().s
-            return Run(self, Replay(spec.start), (nth.t, nth.sub) if nth else None)
-        return Run(self, spec)
+            return Run(self, Replay(spec.start), (nth.t, nth.sub) if nth else None, on_error)
+        return Run(self, spec, on_error=on_error)
 
     # Several streams -----------------------------------------------------------------------------------------------
 
@@ -204,8 +407,8 @@ class Graph:
 class Stream:
     """A node's values. Every method adds a node to the graph."""
 
-    def __init__(self, graph: Graph, number: int, build: Callable[[Run], DataFrame], timers: Callable[[Run], DataFrame] | None) -> None:
-        self.graph, self.id, self.build, self.timers = graph, number, build, timers
+    def __init__(self, graph: Graph, number: int, build: Callable[[Run], DataFrame], timers: Callable[[Run], DataFrame] | None, halts: Callable[[Run], DataFrame] | None = None, may_stop: bool = False) -> None:
+        self.graph, self.id, self.build, self.timers, self.halts, self.may_stop = graph, number, build, timers, halts, may_stop
 
     def _then(self, f: Callable[..., DataFrame], *args: Any, timers: Callable[[Run], DataFrame] | None = None) -> Stream:
         return self.graph._add(lambda run: f(run.frame(self), *args), timers)
@@ -227,8 +430,19 @@ class Stream:
     def filter_map(self, f: stateless.Expr) -> Stream:
         return self._then(stateless.filter_map, f)
 
-    def try_map(self, f: stateless.Expr) -> Stream:
-        return self._then(stateless.try_map, f)
+    def try_map(self, f: stateless.Expr, error: stateless.Expr | None = None) -> Stream:
+        """error: a message for a value that fails, else null; only such failures leave a prefix."""
+        halts = None if error is None else lambda run: stateless.failed(run.frame(self), error)
+        return self.graph._add(lambda run: stateless.try_map(run.frame(self), f, error, run.on_error == "prefix"), None, halts)
+
+    def sink(self, f: Callable[[Any, int], Any]) -> Stream:
+        """Has f called with every (value, t) by ``Run.drive``; its own values are True at each fire."""
+        out = self._then(lambda frame: frame.withColumn("v", F.lit(True)))
+        self.graph.sinks.append((out, self, f))
+        return out
+
+    #: A sink whose function may fail: ``Run.drive`` raises its error with the node.
+    try_sink = sink
 
     def inspect(self, name: str, *metrics: Column) -> Stream:
         return self._then(stateless.inspect, name, *metrics)
@@ -334,7 +548,27 @@ class Stream:
         listed = F.transform(F.array_sort(F.collect_list(F.struct("sub", "v"))), lambda x: x["v"]).alias("v")
         return self._then(lambda f: f.groupBy(*self.graph.keys, "t").agg(listed).select(*self.graph.keys, "t", F.lit(0).alias("sub"), "v"))
 
+    def paced(self, pace: Stream) -> Stream:
+        """Bursts taken at the instants of ``pace``; one that comes at another instant breaks the protocol."""
+
+        def f(bursts: DataFrame, at: DataFrame, keys: Sequence[str]) -> DataFrame:
+            first = at.select(*keys, "t", F.lit(0).alias("sub"), F.lit(True).alias("v")).distinct()
+            rows = align([bursts, first], keys).where("f0")
+            return rows.select(*keys, *STEP, F.when(F.col("f1"), F.col("l0.v")).otherwise(_broken("a packet at %d is not at an instant of the pace", bursts)).alias("v"))
+
+        return self.bursts()._with(pace, f)
+
     def worker(self, build: Callable[[Stream], Stream]) -> Stream:
-        """A child graph inlined: its values come as batches of one and must keep their times."""
+        """A child graph inlined: its values come as batches of one, at instants of the parent and at most once at each step of it."""
         out = build(self)
-        return out._then(lambda f: f.withColumn("v", F.array("v")))
+
+        def f(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFrame:
+            rows = align([child, parent], keys).where("f0")
+            sure = F.when(F.col("f1"), F.col("l0.v")).otherwise(_broken("the worker's value at %d is at no step of its parent", child))
+            return rows.select(*keys, *STEP, F.array(sure).alias("v"))
+
+        return out._with(self, f)
+
+
+def _broken(message: str, frame: DataFrame) -> Column:
+    return F.raise_error(F.format_string(message, "t")).cast(frame.schema["v"].dataType)

@@ -28,9 +28,25 @@ def filter_map(frame: DataFrame, f: Expr) -> DataFrame:
     return map_(frame, f).where("v is not null")
 
 
-def try_map(frame: DataFrame, f: Expr) -> DataFrame:
-    """As map_, with an f that may fail; the failure ends the run."""
-    return map_(frame, f)
+def try_map(frame: DataFrame, f: Expr, error: Expr | None = None, drop: bool = False) -> DataFrame:
+    """As map_, with an f that may fail; the failure ends the run.
+
+    ``error`` gives a message for a value that fails and null for others; with
+    ``drop`` such values are left out instead, for a run that keeps what came
+    before the failure.
+    """
+    if error is None:
+        return map_(frame, f)
+    rows = frame.withColumn("__error", error(F.col("v")).cast("string"))
+    kind = frame.select(f(F.col("v")).alias("v")).schema["v"].dataType
+    if drop:
+        return rows.where("__error is null").withColumn("v", f(F.col("v"))).drop("__error")
+    return rows.withColumn("v", F.when(F.col("__error").isNotNull(), F.raise_error(F.col("__error")).cast(kind)).otherwise(f(F.col("v")))).drop("__error")
+
+
+def failed(frame: DataFrame, error: Expr) -> DataFrame:
+    """(keys..., t, sub, note) of the values that fail."""
+    return frame.withColumn("note", error(F.col("v")).cast("string")).where("note is not null").drop("v")
 
 
 def timestamp(frame: DataFrame) -> DataFrame:

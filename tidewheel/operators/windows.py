@@ -19,7 +19,8 @@ def _listed() -> Column:
 def buffer(frame: DataFrame, keys: Sequence[str], n: int, ended_at: DataFrame | None = None) -> DataFrame:
     """Every n-th value emits the last n; the remainder comes at the end of the run.
 
-    ended_at: (keys..., ended) with the clock of each key's last step.
+    ended_at: (keys..., ended, failed) with the clock of each key's last step;
+    a failed run has no remainder.
     """
     if n < 1:
         raise ValueError("n must be positive")
@@ -28,7 +29,8 @@ def buffer(frame: DataFrame, keys: Sequence[str], n: int, ended_at: DataFrame |
     if ended_at is None:
         ended = F.col("__at.t")
     else:
-        out = out.join(ended_at, list(keys), "left") if keys else out.crossJoin(F.broadcast(ended_at))  # one row
+        out = out.join(ended_at, list(keys), "left") if keys else out.withColumn("ended", ended_at.select("ended").scalar()).withColumn("failed", ended_at.select("failed").scalar())
+        out = out.where((F.col("__n") == n) | ~F.coalesce("failed", F.lit(False)))
         ended = F.coalesce("ended", "__at.t")
     t = F.when(F.col("__n") == n, F.col("__at.t")).otherwise(ended)
     return out.select(*keys, t.alias("t"), F.col("__at.sub").alias("sub"), "v")

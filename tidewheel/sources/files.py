@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a CSV file with a header, and ``line``, their order in the file; a malformed row fails the run."""
-    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", enforceSchema=True).withColumn("line", F.monotonically_increasing_id())
+def read_csv(spark: SparkSession, path: str, schema: str, on_error: str = "fail") -> DataFrame:
+    """Rows of a CSV file with a header, and ``line``, their order in the file; a malformed row fails the run.
+
+    With ``on_error="keep"`` such rows stay, with nulls, and ``error`` names
+    the file and, in a file that is read in one piece, the line; the path must
+    be of one file then, without line breaks inside fields.
+    """
+    if on_error == "fail":
+        return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", enforceSchema=True).withColumn("line", F.monotonically_increasing_id())
+    text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where("line > 0 and value != ''")
+    parsed = F.from_csv("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    rows = text.select("line", parsed.alias("row")).select("line", "row.*")
+    message = F.format_string(f"{path.replace('%', '%%')}: line %d: %s", F.col("line") + 1, "__bad")
+    return rows.withColumn("error", F.when(F.col("__bad").isNotNull(), message)).drop("__bad")
 
 
 def save_json(frame: DataFrame, path: str) -> None:
