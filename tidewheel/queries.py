@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.times import DAY, nanos
 from tidewheel.graph import Graph, Replay, Stop, Stream
+from tidewheel.operators.custom import Context
 from tidewheel.plans.prefix import running_unkeyed
 
 START = 1_704_067_200 * 1_000_000_000  # 2024-01-01
@@ -109,6 +110,56 @@ def running_sum_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_unkeyed(g.run().frame(s), "sum", DAY).withColumn("v", F.col("v").cast("double"))
 
 
+class Quiet:
+    """debounce, written as an operator of one's own."""
+
+    def __init__(self, quiet: int) -> None:
+        self.quiet, self.due, self.held = quiet, None, None
+
+    def step(self, ctx: Context) -> None:
+        if ctx.fired(0):
+            self.due, self.held = ctx.now + self.quiet, ctx.value(0)
+            ctx.after(self.quiet)
+        elif ctx.now == self.due:
+            ctx.emit(self.held)
+
+
+class Budget:
+    """Sums up to a limit and stops its run there."""
+
+    def __init__(self, most: float) -> None:
+        self.most, self.total = most, 0.0
+
+    def step(self, ctx: Context) -> None:
+        self.total += ctx.value(0)
+        ctx.emit(self.total)
+        if self.total > self.most:
+            ctx.stop()
+
+
+def _risky(s: Stream) -> Stream:
+    return s.try_map(lambda v: v * 2, lambda v: F.when(v > 350_000, F.lit("too much")))
+
+
+def prefix_on_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer what comes before the first order that fails."""
+    g, source = _orders(spark, sf_dir)
+    return g.run(on_error="prefix").frame(_risky(source))
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, source = _orders(spark, sf_dir)
+    _risky(source)
+    return g.run(on_error="prefix").failures().select("o_custkey", "t", "sub", "note")
+
+
+def operator_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each customer's run, which an operator beside them ends."""
+    g, source = _orders(spark, sf_dir)
+    g.operator([(source, "on")], lambda: Budget(1_000_000.0), "double", may_stop=True)
+    return g.run().frame(source)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": flagship,
     "just": just,
@@ -149,6 +200,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_batch": _on_events(lambda g, s: s.window_tumbling(DAY).map_batch(F.array_max), Replay.from_(START)),
     "channel_bursts": _on_orders(lambda g, s: s.bursts(), post=_batch),
     "worker": _on_orders(lambda g, s: s.worker(lambda c: c.count()).collapse()),
+    "channel_paced": _on_orders(lambda g, s: s.paced(g.merge([s.delay(DAY), s])), post=_batch),
+    "operator": _on_orders(lambda g, s: g.operator([(s, "on")], lambda: Quiet(20 * DAY), "double")),
+    "operator_stop": operator_stop,
+    "prefix_on_error": prefix_on_error,
+    "failures": failures,
     "run_summary": run_summary,
     "running_sum_unkeyed": running_sum_unkeyed,
 }
@@ -201,5 +257,11 @@ ORACLES: dict[str, str] = {
     "run_summary": f"WITH {_O}, s AS (SELECT o_custkey, t, sub FROM o UNION SELECT o_custkey, t + 10 * {_DAY}, 0 FROM o) SELECT o_custkey, count(*) AS steps, max(t) AS ended_at FROM s GROUP BY 1",
     "running_sum_unkeyed": f"WITH {_E} SELECT t, sub, (sum(v::DECIMAL(18,4)) OVER (ORDER BY t, sub))::DOUBLE AS v FROM e",
 }
+ORACLES["operator"] = ORACLES["debounce"]
+ORACLES["channel_paced"] = ORACLES["channel_bursts"]
+_BAD = f"WITH {_O}, bad AS (SELECT o_custkey, min((t, sub)) AS bad FROM o WHERE v > 350000 GROUP BY 1)"
+ORACLES["prefix_on_error"] = f"{_BAD} SELECT o_custkey, t, sub, v * 2 AS v FROM o LEFT JOIN bad USING (o_custkey) WHERE bad.bad IS NULL OR (t, sub) < bad.bad"
+ORACLES["failures"] = f"{_BAD} SELECT o_custkey, t, sub, 'too much' AS note FROM o JOIN bad USING (o_custkey) WHERE (t, sub) = bad.bad"
+ORACLES["operator_stop"] = f"WITH {_O} SELECT o_custkey, t, sub, v FROM (SELECT *, coalesce(sum(v) OVER (PARTITION BY o_custkey ORDER BY t, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o) WHERE before <= 1000000"
 ORACLES["reduce_general"] = ORACLES["reduce"]
 ORACLES["scan"] = ORACLES["sum"]
