@@ -193,6 +193,19 @@ def test_licences_and_inheritance(spark):
     assert got == {"a/LICENSE": ("MIT", "MIT", None), "a/b/x.py": (None, "MIT", "a"), "a/b/y.py": ("Apache-2.0", "Apache-2.0", None), "z/q.py": (None, None, None), "r.py": (None, None, None), "": (None, None, None)}
 
 
+def test_licence_notices_inside_longer_lines(spark):
+    around = "the way of this is to go on and the rest of it is to the end of this or that " * 40
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    rows = [(f"{how}/{name}", how, text) for name, notice in notices.items() for how, text in {"alone": f"{around}\n{notice}\n{around}", "inside": f"{around}{notice} {around}", "first": f"{notice} {around}", "last": around + notice, "wrapped": around + "\n# " + notice.replace(" the ", " the\n# ") + "\n" + around}.items()]
+    rows += [(f"none/{i}", "none", around + word) for i, word in enumerate(["", "a license to all", "released"])]
+    files = spark.createDataFrame(rows, "path string, how string, text string")
+    got = licenses.licence_scan(files, F.col("path"), F.col("text"), is_licence_file=F.lit(False)).collect()
+    assert {r.path: r.own_licence for r in got} == {p: None if how == "none" else p.split("/")[1] for p, how, _ in rows}
+    assert {r.path.split("/")[0]: r.line for r in got if r.own_licence} == {"alone": 1, "inside": 0, "first": 0, "last": 0, "wrapped": 1}
+    own = licenses.own_licences(files.withColumn("mark", F.xxhash64("text")), licenses.TEMPLATES, licenses.THRESHOLD).collect()
+    assert {r.path for r in own if r.line == 0 and r.at == 0} == {"first/MIT", "first/Apache-2.0"}
+
+
 def test_pipeline_takes_odd_rows(spark, rows):
     docs = make_docs(spark, rows)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -1,13 +1,16 @@
 """License scans in DataFrame operations only: TF-IDF cosine to templates, then inheritance from the nearest licence file above.
 
-Passages are the lines of every whole text, and the licence lines of a file
-taken together, for headers that run over several lines. A passage is a sparse
-vector over the templates' terms; a term's weight is its count times its
-inverse document frequency in the files scanned. By the Cauchy-Schwarz
-inequality a line whose cosine to a template reaches the threshold must hold
-one of the template's heaviest terms, those without which the rest of its
-norm stays below the threshold; only lines with such a term are scored, and
-none that could match is left out.
+Passages are the lines of every whole text, the licence lines of a file taken
+together, and windows of a template's length that run over line ends, so what
+else stands in a notice's line does not count. Windows start at every term for
+templates of up to 31 terms and at every 16th part of the length for longer
+ones. A passage is a sparse vector over the templates' terms; a term's weight
+is its count times its inverse document frequency in the files scanned. By the
+Cauchy-Schwarz inequality a passage whose cosine to a template reaches the
+threshold must hold terms with at least the threshold's square of the
+template's squared norm, so one of its rarest terms, those without which the
+rest stays below; only files, lines and windows with such terms are scored,
+and none that could match is left out.
 
 A file without a licence of its own takes that of the nearest ancestor
 directory that has a licence file. Directories, not files, are joined with
@@ -18,12 +21,13 @@ directories.
 
 Defined cases: null text has no lines, a null path is the root's file "";
 repeated rows are each reported; of equal cosines the earliest line, then the
-first template by name, wins; of several licence files in a directory the first by
+earliest term, then the first template by name, wins; of several licence files in a directory the first by
 path; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -55,6 +59,9 @@ THRESHOLD = 0.7
 MAX_TERMS = 20_000
 BROADCAST_ROWS = 300_000
 _TERM = "[a-z0-9]+"
+#: A template's windows start at every such part of its length; a text is cut into blocks of so many starts.
+STEPS = 16
+BLOCK = 512
 
 
 def _terms(text: Column) -> Column:
@@ -65,31 +72,60 @@ def template_counts(templates: dict[str, str]) -> dict[str, Counter]:
     return {name: Counter(re.findall(_TERM, text.translate(str.maketrans(common.UPPER, common.LOWER)))) for name, text in templates.items()}
 
 
+def _held(terms: list[str], text: Column) -> Column:
+    """Those of the terms that a text holds."""
+    return F.array_intersect(_strings(terms), F.split(common.ascii_lower(text), "[^a-z0-9]+"))
+
+
+def _strings(terms: list[str]) -> Column:
+    return F.split(F.lit(" ".join(terms)), " ") if terms else F.array().cast("array<string>")
+
+
 def document_frequencies(files: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
     """Files in all, and those that hold each of the templates' terms."""
-    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    held = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(listed, F.split(common.ascii_lower(F.col("text")), "[^a-z0-9]+")))).alias("term"))
+    held = files.select(F.explode(F.concat(F.array(F.lit("")), _held(terms, F.col("text")))).alias("term"))
     got = {r.term: r.n for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     return got.pop("", 0), got
 
 
-def anchors(weights: dict[str, dict[str, float]], threshold: float) -> list[str]:
-    """For each template its heaviest terms, until the rest of its norm is below the threshold."""
-    out: set[str] = set()
-    for w in weights.values():
-        left = whole = sum(x * x for x in w.values())
-        for term, x in sorted(w.items(), key=lambda p: (-p[1], p[0])):
-            if left < threshold**2 * whole * (1 - 1e-9):
-                break
-            out.add(term)
-            left -= x * x
+def anchors(weights: dict[str, float], df: dict[str, int], threshold: float) -> list[str]:
+    """A template's rarest terms, until the rest of its norm is below the threshold."""
+    out = []
+    left = whole = sum(x * x for x in weights.values())
+    for term, x in sorted(weights.items(), key=lambda p: (df.get(p[0], 0), -p[1], p[0])):
+        if left < threshold**2 * whole * (1 - 1e-9):
+            break
+        out.append(term)
+        left -= x * x
     return sorted(out)
 
 
+def windows(hot: DataFrame, kinds: DataFrame, longest: int) -> DataFrame:
+    """(path, mark, k, start, line, at, term): the terms of all windows of a hot template's length that hold one of its anchors.
+
+    start is the window's first term in the text; line and at are that term's line and its place in it.
+    """
+    placed = F.flatten(F.transform(F.split(common.ascii_lower(F.col("text")), "\n"), lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(f"({_TERM})"), 1), lambda t, j: F.struct(t.alias("term"), i.alias("line"), j.alias("at")))))
+    blocks = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(BLOCK)), lambda c: F.struct(c.alias("first"), F.slice(w, c + 1, BLOCK + longest).alias("w")))
+    texts = hot.select("path", "mark", "hot", F.explode(F.array(placed)).alias("w")).where(F.size("w") > 0)
+    parts = texts.select("path", "mark", "hot", F.explode(blocks(F.col("w"))).alias("block"))
+    parts = parts.select("path", "mark", "block.first", "block.w", F.explode("hot").alias("k")).join(F.broadcast(kinds), "k")
+    # Starts are multiples of the step in the text and lie in the block.
+    near = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains("anchors", F.col("w")[i]["term"]))
+    up = lambda x: F.ceil(x / F.col("step")).cast("int") * F.col("step")
+    low, high = (lambda i: up(F.greatest(F.lit(0), i + F.col("first") - F.col("length") + 1, F.col("first")))), (lambda i: F.least(i + F.col("first"), F.col("first") + (BLOCK - 1)))
+    reach = lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i), F.col("step"))).otherwise(F.array().cast("array<int>"))
+    starts = parts.select("path", "mark", "k", "first", "w", "length", F.explode(F.array_distinct(F.flatten(F.transform(near, reach)))).alias("start"))
+    held = F.slice("w", F.col("start") - F.col("first") + 1, F.col("length"))
+    cut = starts.select("path", "mark", "k", "start", F.explode(F.array(held)).alias("held"))
+    return cut.select("path", "mark", "k", "start", F.col("held")[0]["line"].alias("line"), F.col("held")[0]["at"].alias("at"), F.explode("held.term").alias("term"))
+
+
 def own_licences(files: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(path, mark, licence, cosine, line): the best passage of each file that has one; mark tells texts of one path apart.
+    """(path, mark, licence, cosine, line, at): the best passage of each file that has one; mark tells texts of one path apart.
 
-    line is the passage's line from 0, or -1 for the licence lines together.
+    line is the passage's line from 0, or -1 for the licence lines together; at
+    is the line's term at which its first passage with that licence begins.
     """
     spark = files.sparkSession
     counts = template_counts(templates)
@@ -98,25 +134,45 @@ def own_licences(files: DataFrame, templates: dict[str, str], threshold: float)
         raise ValueError(f"the templates have more than {MAX_TERMS} terms")
     n, df = document_frequencies(files, terms)
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in terms}
-    weights = {name: {t: k * idf[t] for t, k in c.items()} for name, c in counts.items()}
-    norms = {name: math.sqrt(sum(x * x for x in w.values())) for name, w in weights.items()}
-    one = spark.createDataFrame([(t, x) for t, x in idf.items()], "term string, idf double")
-    many = spark.createDataFrame([(t, name, x / norms[name]) for name, w in weights.items() for t, x in w.items()], "term string, licence string, weight double")
-
-    near = "|".join(anchors(weights, threshold)) or "$^"
-    lines = files.select("path", "mark", F.posexplode(F.split("text", "\n")).alias("line", "passage"))
-    lines = lines.where(F.expr(f"rlike(translate(passage, '{common.UPPER}', '{common.LOWER}'), '(?<![a-z0-9])({near})(?![a-z0-9])')"))
-    terms_of = lines.select("path", "mark", "line", F.explode(_terms(F.col("passage"))).alias("term")).join(F.broadcast(one), "term")
+    weights = [(name, {t: k * idf[t] for t, k in c.items()}) for name, c in counts.items() if c]
+    norms = [math.sqrt(sum(x * x for x in w.values())) for _, w in weights]
+    near = [anchors(w, df, threshold) for _, w in weights]
+    lengths = [sum(counts[name].values()) for name, _ in weights]
+    one = F.broadcast(spark.createDataFrame([(t, x) for t, x in idf.items()], "term string, idf double"))
+    many = F.broadcast(spark.createDataFrame([(t, k, x / norms[k]) for k, (_, w) in enumerate(weights) for t, x in w.items()], "term string, k int, weight double"))
+    kinds = spark.createDataFrame([(k, lengths[k], max(1, lengths[k] // STEPS), near[k]) for k in range(len(weights))], "k int, length int, step int, anchors array<string>")
+    names = F.broadcast(spark.createDataFrame([(k, name) for k, (name, _) in enumerate(weights)], "k int, licence string"))
+
+    # Files that can match: those with an anchor, then for each template those with enough of its norm.
+    anchor = _strings(sorted({t for a in near for t in a}))
+    some = files.where(F.arrays_overlap(anchor, F.split(common.ascii_lower(F.col("text")), "[^a-z0-9]+")))
+    some = common.materialize(some.withColumn("held", _held(terms, F.col("text"))), "licence-candidates")
+    shares = F.from_json(F.lit(json.dumps([{"k": k, "terms": [{"t": t, "x": (x / norms[k]) ** 2} for t, x in w.items()]} for k, (_, w) in enumerate(weights)])), "array<struct<k int, terms array<struct<t string, x double>>>>")
+    share = lambda s: F.aggregate(s["terms"], F.lit(0.0), lambda a, y: a + F.when(F.array_contains("held", y["t"]), y["x"]).otherwise(0.0))
+    hot = some.withColumn("hot", F.transform(F.filter(shares, lambda s: share(s) >= threshold**2 * (1 - 1e-9)), lambda s: s["k"])).where(F.size("hot") > 0)
+    hot = common.materialize(hot.select("path", "mark", "hot", "text"), "licence-hot")
+
+    lines = hot.select("path", "mark", F.posexplode(F.split("text", "\n")).alias("line", "passage"))
+    lines = lines.where(F.arrays_overlap(anchor, F.split(common.ascii_lower(F.col("passage")), "[^a-z0-9]+")))
+    terms_of = lines.select("path", "mark", "line", F.explode(_terms(F.col("passage"))).alias("term")).join(one, "term")
     single = terms_of.groupBy("path", "mark", "line", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
     whole = single.groupBy("path", "mark", F.lit(-1).alias("line"), "term").agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf"))
     vectors = single.unionByName(whole).withColumn("x", F.col("tf") * F.col("idf"))
     # One row for each passage: its terms, and from them norm and products.
     key = ["path", "mark", "line"]
     norm = vectors.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    product = vectors.join(F.broadcast(many), "term").groupBy(*key, "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = product.join(norm, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
-    order = F.struct(-F.col("cosine"), F.when(F.col("line") < 0, F.lit(2**31 - 1)).otherwise(F.col("line")), F.col("licence"))
-    return scored.groupBy("path", "mark").agg(F.min_by(F.struct("licence", "cosine", "line"), order).alias("best")).select("path", "mark", "best.*")
+    product = vectors.join(many, "term").groupBy(*key, "k").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    scored = product.join(norm, key).withColumn("at", F.lit(0))
+
+    key = ["path", "mark", "k", "start", "line", "at"]
+    cut = windows(hot, kinds, max(lengths, default=0)).join(one, "term").groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    cut = cut.join(many, ["k", "term"], "left").withColumn("x", F.col("tf") * F.col("idf"))
+    inside = cut.groupBy(*key).agg(F.sum(F.col("x") * F.coalesce("weight", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+
+    scored = scored.unionByName(inside.select(*scored.columns)).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
+    scored = scored.join(names, "k").groupBy("path", "mark", "licence", "line").agg(F.max("cosine").alias("cosine"), F.min("at").alias("at"))
+    order = F.struct(-F.col("cosine"), F.when(F.col("line") < 0, F.lit(2**31 - 1)).otherwise(F.col("line")), "at", "licence")
+    return scored.groupBy("path", "mark").agg(F.min_by(F.struct("licence", "cosine", "line", "at"), order).alias("best")).select("path", "mark", "best.*")
 
 
 def ancestors(directory: Column) -> Column:
@@ -129,7 +185,7 @@ def ancestors(directory: Column) -> Column:
 def licence_scan(files: DataFrame, path: Column, text: Column, is_licence_file: Column | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """The kept columns, path, own_licence, cosine, line, licence (own or inherited) and inherited_from, a directory.
 
-    is_licence_file: a condition on path and line; without one, files named LICENSE, LICENCE, COPYING or NOTICE.
+    is_licence_file: a condition on path, line and at (see own_licences); without one, files named LICENSE, LICENCE, COPYING or NOTICE.
     """
     rows = files.select(*(keep or []), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
@@ -144,7 +200,7 @@ def licence_scan(files: DataFrame, path: Column, text: Column, is_licence_file:
     inherited = common.materialize(inherited, "licence-directories")
     small = common.is_small(inherited, BROADCAST_ROWS)
     out = rows.drop("text").withColumn("directory", directory(F.col("path"))).join(F.broadcast(inherited) if small else inherited, "directory", "left")
-    out = out.join(own, ["path", "mark"], "left")
+    out = out.join(own.drop("at"), ["path", "mark"], "left")
     return out.select(
         *(keep or []), "path", F.col("licence").alias("own_licence"), "cosine", "line",
         F.coalesce("licence", "from.given").alias("licence"), F.when(F.col("licence").isNull(), F.col("from.above")).alias("inherited_from"),
@@ -156,4 +212,4 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     part = lambda c: F.coalesce(F.regexp_replace(c, "/", "_"), F.lit("none"))
     path = F.concat_ws("/", part("source"), part("lang"), F.coalesce((F.col("doc_id").cast("bigint") / 100).cast("bigint").cast("string"), F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    return licence_scan(docs, path, F.col("text"), is_licence_file=F.col("line") == 0, keep=["doc_id"])
+    return licence_scan(docs, path, F.col("text"), is_licence_file=(F.col("line") == 0) & (F.col("at") == 0), keep=["doc_id"])
