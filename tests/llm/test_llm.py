@@ -206,6 +206,19 @@ def test_licence_notices_inside_longer_lines(spark):
     assert {r.path for r in own if r.line == 0 and r.at == 0} == {"first/MIT", "first/Apache-2.0"}
 
 
+def test_licence_files_headers_and_identifiers(spark):
+    def wrapped(text, mark=""):
+        words = text.split()
+        return "\n".join(mark + " ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+
+    rows = [(f"{name}/{k}.{how}", text) for name, texts in licenses.TEXTS.items() for k, t in enumerate(texts) for how, text in {"file": "Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + wrapped(t), "header": wrapped(t, " * ") + "\nint main() { return 0; }\n" + "next = next + one;\n" * 99}.items()]
+    rows += [(f"{name}/spdx{i}", f"#!/bin/sh\n# SPDX-License-Identifier: {name}{end}\nrun") for name in licenses.TEXTS for i, end in enumerate(["", "-or-later"])]
+    rows += [("MIT/titled", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(licenses.TEXTS["MIT"][0])), ("None/0", "# SPDX-License-Identifier: Zlib\nx"), ("None/1", "permission to use the software is not granted")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = licenses.licence_scan(files, F.col("path"), F.col("text"), is_licence_file=F.lit(False)).collect()
+    assert {r.path: str(r.own_licence) for r in got} == {p: p.split("/")[0] for p, _ in rows}
+
+
 def test_pipeline_takes_odd_rows(spark, rows):
     docs = make_docs(spark, rows)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -12,6 +12,11 @@ template's squared norm, so one of its rarest terms, those without which the
 rest stays below; only files, lines and windows with such terms are scored,
 and none that could match is left out.
 
+A licence has several templates: its one-sentence notice, its full text or
+opening, its publisher's header and its SPDX line. An SPDX line must be there
+with all its terms, as it differs from others by the identifier alone; in an
+expression of several the first counts.
+
 A file without a licence of its own takes that of the nearest ancestor
 directory that has a licence file. Directories, not files, are joined with
 their ancestors, so a directory with very many files costs one row.
@@ -55,6 +60,87 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+
+
+def _gnu(kind: str, version: str, what: str = "program") -> str:
+    return f"""This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} License as
+published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This
+{what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} License for more details. You should have received a
+copy of the GNU {kind} License along with this {what}."""
+
+
+def _fsf(head: str, years: str) -> str:
+    return f"{head} Copyright (C) {years} Free Software Foundation, Inc."
+
+
+# Licence texts in full (MIT, ISC, BSD, Unlicense) or their opening, and the headers their publishers ask for.
+TEXTS = {
+    "AGPL-3.0": (_gnu("Affero General Public", "3"), _fsf("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "2007")),
+    "Apache-2.0": (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+limitations under the License.""",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    "BSD-2-Clause": (f"{_BSD_2} {_DISCLAIMER}", f"{_BSD_2} {_DISCLAIMER[:72]}"),  # with the disclaimer's start, as the conditions alone open BSD-3-Clause too
+    "BSD-3-Clause": (f"{_BSD_2} {_BSD_3} {_DISCLAIMER}", f"{_BSD_2} {_BSD_3}"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International Public License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International Public License",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public License",),
+    "CC0-1.0": ("Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES.",),
+    "GPL-2.0": (_gnu("General Public", "2"), _fsf("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "1989, 1991")),
+    "GPL-3.0": (_gnu("General Public", "3"), _fsf("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "2007")),
+    "ISC": (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    "LGPL-2.1": (_gnu("Lesser General Public", "2.1", "library"), _fsf("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "1991, 1999")),
+    "MIT": (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall
+be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.""",
+    ),
+    "MPL-2.0": (
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates,
+contributes to the creation of, or owns Covered Software.""",
+    ),
+    "Unlicense": (
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means.""",
+    ),
+}
+#: Lines that differ by the identifier alone, so all of their terms must be there.
+SPDX = "SPDX-License-Identifier: "
+ALL_TEMPLATES = {name: (notice, *TEXTS[name], SPDX + name) for name, notice in TEMPLATES.items()}
 THRESHOLD = 0.7
 MAX_TERMS = 20_000
 BROADCAST_ROWS = 300_000
@@ -68,8 +154,11 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(common.ascii_lower(text), F.lit(f"({_TERM})"), 1)
 
 
-def template_counts(templates: dict[str, str]) -> dict[str, Counter]:
-    return {name: Counter(re.findall(_TERM, text.translate(str.maketrans(common.UPPER, common.LOWER)))) for name, text in templates.items()}
+def template_counts(templates: dict[str, str | tuple[str, ...]]) -> list[tuple[str, bool, Counter]]:
+    """(licence, whether all terms must be there, counts of terms) of each template, in the licences' order."""
+    listed = [(name, text) for name, texts in templates.items() for text in ((texts,) if isinstance(texts, str) else texts)]
+    found = [(name, text.startswith(SPDX), Counter(re.findall(_TERM, text.translate(str.maketrans(common.UPPER, common.LOWER))))) for name, text in listed]
+    return [t for t in found if t[2]]
 
 
 def _held(terms: list[str], text: Column) -> Column:
@@ -121,7 +210,7 @@ def windows(hot: DataFrame, kinds: DataFrame, longest: int) -> DataFrame:
     return cut.select("path", "mark", "k", "start", F.col("held")[0]["line"].alias("line"), F.col("held")[0]["at"].alias("at"), F.explode("held.term").alias("term"))
 
 
-def own_licences(files: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+def own_licences(files: DataFrame, templates: dict[str, str | tuple[str, ...]], threshold: float) -> DataFrame:
     """(path, mark, licence, cosine, line, at): the best passage of each file that has one; mark tells texts of one path apart.
 
     line is the passage's line from 0, or -1 for the licence lines together; at
@@ -129,19 +218,19 @@ def own_licences(files: DataFrame, templates: dict[str, str], threshold: float)
     """
     spark = files.sparkSession
     counts = template_counts(templates)
-    terms = sorted({t for c in counts.values() for t in c})
+    terms = sorted({t for _, _, c in counts for t in c})
     if len(terms) > MAX_TERMS:
         raise ValueError(f"the templates have more than {MAX_TERMS} terms")
     n, df = document_frequencies(files, terms)
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in terms}
-    weights = [(name, {t: k * idf[t] for t, k in c.items()}) for name, c in counts.items() if c]
+    weights = [(name, {t: k * idf[t] for t, k in c.items()}) for name, _, c in counts]
     norms = [math.sqrt(sum(x * x for x in w.values())) for _, w in weights]
     near = [anchors(w, df, threshold) for _, w in weights]
-    lengths = [sum(counts[name].values()) for name, _ in weights]
+    lengths = [sum(c.values()) for _, _, c in counts]
     one = F.broadcast(spark.createDataFrame([(t, x) for t, x in idf.items()], "term string, idf double"))
     many = F.broadcast(spark.createDataFrame([(t, k, x / norms[k]) for k, (_, w) in enumerate(weights) for t, x in w.items()], "term string, k int, weight double"))
     kinds = spark.createDataFrame([(k, lengths[k], max(1, lengths[k] // STEPS), near[k]) for k in range(len(weights))], "k int, length int, step int, anchors array<string>")
-    names = F.broadcast(spark.createDataFrame([(k, name) for k, (name, _) in enumerate(weights)], "k int, licence string"))
+    names = F.broadcast(spark.createDataFrame([(k, name, 1.0 if exact else threshold) for k, (name, exact, _) in enumerate(counts)], "k int, licence string, least double"))
 
     # Files that can match: those with an anchor, then for each template those with enough of its norm.
     anchor = _strings(sorted({t for a in near for t in a}))
@@ -169,8 +258,8 @@ def own_licences(files: DataFrame, templates: dict[str, str], threshold: float)
     cut = cut.join(many, ["k", "term"], "left").withColumn("x", F.col("tf") * F.col("idf"))
     inside = cut.groupBy(*key).agg(F.sum(F.col("x") * F.coalesce("weight", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
 
-    scored = scored.unionByName(inside.select(*scored.columns)).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
-    scored = scored.join(names, "k").groupBy("path", "mark", "licence", "line").agg(F.max("cosine").alias("cosine"), F.min("at").alias("at"))
+    scored = scored.unionByName(inside.select(*scored.columns)).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
+    scored = scored.join(names, "k").where(F.col("cosine") >= F.col("least")).groupBy("path", "mark", "licence", "line").agg(F.max("cosine").alias("cosine"), F.min("at").alias("at"))
     order = F.struct(-F.col("cosine"), F.when(F.col("line") < 0, F.lit(2**31 - 1)).otherwise(F.col("line")), "at", "licence")
     return scored.groupBy("path", "mark").agg(F.min_by(F.struct("licence", "cosine", "line", "at"), order).alias("best")).select("path", "mark", "best.*")
 
@@ -182,14 +271,14 @@ def ancestors(directory: Column) -> Column:
     return F.array_distinct(F.concat(up, F.array(F.lit(""))))
 
 
-def licence_scan(files: DataFrame, path: Column, text: Column, is_licence_file: Column | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+def licence_scan(files: DataFrame, path: Column, text: Column, is_licence_file: Column | None = None, templates: dict[str, str | tuple[str, ...]] | None = None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """The kept columns, path, own_licence, cosine, line, licence (own or inherited) and inherited_from, a directory.
 
     is_licence_file: a condition on path, line and at (see own_licences); without one, files named LICENSE, LICENCE, COPYING or NOTICE.
     """
     rows = files.select(*(keep or []), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    own = common.materialize(own_licences(rows.select("path", "mark", "text"), templates or TEMPLATES, threshold), "licences")
+    own = common.materialize(own_licences(rows.select("path", "mark", "text"), templates or ALL_TEMPLATES, threshold), "licences")
     named = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
     directory = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise("")
     above = own.where(named if is_licence_file is None else is_licence_file).groupBy(directory(F.col("path")).alias("above")).agg(F.min_by("licence", F.struct("path", "mark")).alias("given"))
