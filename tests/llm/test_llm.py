@@ -187,6 +187,22 @@ def test_urls(spark):
     assert [r.verdict for r in got[3:]] == ["allow", "block", "block", "block", "block", "allow"]
 
 
+def test_crf_spans_that_reach_beyond_base_spans():
+    class Fixed:
+        def __init__(self, *spans):
+            self.fixed = list(spans)
+
+        def spans(self, text):
+            return self.fixed
+
+    text = "x " + "0a" * 16 + "QRS+~-TUV and " + "1b" * 16
+    added = lambda *spans: [s for s in secrets.all_spans(text, Fixed(*spans))[1] if s[0] == "crf"]
+    assert added((2, 43)) == [("crf", 2, 43)]
+    assert added((0, 34)) == [("crf", 0, 34)]
+    assert added((2, 34), (10, 20), (48, 80)) == []
+    assert added((34, 43)) == [("crf", 34, 43)]
+
+
 def test_licences_and_inheritance(spark):
     files = spark.createDataFrame([("a/LICENSE", "Intro\nReleased under the MIT License."), ("a/b/x.py", "code"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0."), ("z/q.py", "a license to nothing"), ("r.py", None), (None, "")], "path string, text string")
     got = {r.path: (r.own_licence, r.licence, r.inherited_from) for r in licenses.licence_scan(files, F.col("path"), F.col("text")).collect()}

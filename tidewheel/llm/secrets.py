@@ -13,7 +13,7 @@ inside scores after it and the best transitions. A line in which no token
 could begin a span with a gain has only outside tags as its best path; such
 lines, nearly all, are settled without decoding and without loss.
 
-Spans of the model that touch no base span are added as kind ``crf``; base
+Spans of the model that reach beyond the base spans are added whole as kind ``crf``; base
 spans always stay. Spans are in code points, the end exclusive.
 
 Defined cases: null or empty text has no spans; rows are scanned each,
@@ -387,9 +387,21 @@ def scanner_of(crf: Crf) -> Scanner:
     return _scanners[id(crf)][1]
 
 
+def _reaches_beyond(text: str, a: int, b: int, base: list[tuple[str, int, int]]) -> bool:
+    """Whether anything but blanks of text[a:b] lies outside the base spans, which come by start."""
+    for _, s, e in base:
+        if s >= b:
+            break
+        if e > a:
+            if text[a:s].strip():
+                return True
+            a = e
+    return bool(text[a:b].strip())
+
+
 def all_spans(text: str, scanner: Scanner) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     base = base_spans(text)
-    added = [("crf", a, b) for a, b in scanner.spans(text) if all(b <= s or a >= e for _, s, e in base)]
+    added = [("crf", a, b) for a, b in scanner.spans(text) if _reaches_beyond(text, a, b, base)]
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
