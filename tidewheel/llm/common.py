@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -18,6 +21,12 @@ LOWER = UPPER.lower()
 #: also what ``bytes.split()`` splits at, which the Python paths rely on.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Stored (compressed) bytes of a table that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+#: Paths written within each open ``storage``, the innermost last.
+_scopes: list[list[str]] = []
+
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
@@ -30,8 +39,11 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``, else one of our own for local runs."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + "/tidewheel"
+    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``; where it is unset, one of our own in local runs and an error on a cluster."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (own or "/tmp/checkpoints").rstrip("/") + "/tidewheel"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -41,12 +53,32 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back, so a lost executor never forces recomputation of what came before."""
     path = new_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+@contextlib.contextmanager
+def storage(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes at its end whatever ``materialize`` wrote within it, but for tables whose names begin with one of ``keep``.
+
+    What is kept belongs to the storage around this one, if there is any.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            if keep and path.rsplit("/", 1)[-1].startswith(keep):
+                if _scopes:
+                    _scopes[-1].append(path)
+            else:
+                remove_path(spark, path)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """Within it, actions send at most n rows at once to Python: for rows that may be long."""
@@ -75,9 +107,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def is_small(df: DataFrame, most_rows: int) -> bool:
-    """Whether a table has at most that many rows; reads no more than it must."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def stored_bytes(df: DataFrame) -> int:
+    """Size of what ``materialize`` wrote."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def is_small(df: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table has at most that many rows and bytes; only file sizes and row counts are read."""
+    return stored_bytes(df) <= most_bytes and df.limit(most_rows + 1).count() <= most_rows
+
+
+def few(df: DataFrame, most_rows: int) -> DataFrame:
+    """A stored table with a broadcast hint if it is small, with a shuffle hint otherwise."""
+    return F.broadcast(df) if is_small(df, most_rows) else df.hint("merge")
+
+
+def local_table(spark: SparkSession, **columns: tuple[str, list]) -> DataFrame:
+    """A small table of the driver's, by name: (type, values). It goes to Spark as one Arrow table, without Python workers."""
+    fields = {n: to_arrow_type(T._parse_datatype_string(k)) for n, (k, _) in columns.items()}
+    rows = pa.table({n: pa.array(v, fields[n]) for n, (_, v) in columns.items()})
+    return spark.createDataFrame(rows, schema(**{n: k for n, (k, _) in columns.items()}))
 
 
 _P1 = np.uint64(0x9E3779B185EBCA87)

@@ -16,6 +16,7 @@ input are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
@@ -139,8 +140,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     it is as large as the vocabulary, a few MB.
     """
     with open(tokenizer, "rb") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
-    key = (os.path.basename(tokenizer), os.path.getsize(tokenizer), batch_bytes, piece_bytes)
+        raw = f.read()
+    content = docs.sparkSession.sparkContext.broadcast(raw)
+    key = (os.path.basename(tokenizer), hashlib.sha256(raw).hexdigest(), batch_bytes, piece_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counters.get(key)
