@@ -79,36 +79,48 @@ def word_count(text_col: str) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, common.BLANKS))).cast("bigint")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = 3, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(id, size, source_size, target, taken) of every row. Weights repeat over the sources in code point order, null last."""
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = 3, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, the kept columns, size, source_size, target, taken) of every row. Weights repeat over the sources in code point order, null last.
+
+    keep: further columns of docs that are carried along; they may not be named like the columns of the result.
+    """
     spark = docs.sparkSession
     source = F.col(source_col).cast("string")
-    sized = docs.select(F.col(id_col).alias("id"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), word_count(text_col).alias("size"))
-    sized = common.materialize(sized, "mix-sizes")
-    sources = sorted((r.no_source, r.source, int(r.words)) for r in sized.groupBy("no_source", "source").agg(F.sum("size").alias("words")).collect())
-    sizes = [s[2] for s in sources]
-    aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], max_repeat) if sources else []
-    blocks = sainte_lague(aims, round(sum(aims) / block_words))
-    shards = [max(1, min(MAX_SHARDS, -(-n // shard_words))) for n in sizes]
-    table = spark.createDataFrame([(no, name, i, n, a, k) for i, ((no, name, n), a, k) in enumerate(zip(sources, aims, shards, strict=True))], "no_source boolean, source string, place int, source_size bigint, target double, shards int")
-
-    placed = sized.join(F.broadcast(table) if len(sources) <= BROADCAST_ROWS else table, ["no_source", "source"])
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.col("shards")).cast("int"))
-    words = {(r.place, r.shard): int(r.words) for r in placed.groupBy("place", "shard").agg(F.sum("size").alias("words")).collect()}
+    own = [F.col(id_col).alias("__id"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"), word_count(text_col).alias("__size"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash")]
+    rows = docs.select(*own, *keep)
+    with common.storage(spark):
+        sized = common.materialize(docs.select(*own), "mix-sizes")
+        sources = sorted((r["__none"], r["__source"], int(r.words)) for r in sized.groupBy("__none", "__source").agg(F.sum("__size").alias("words")).collect())
+        sizes = [s[2] for s in sources]
+        aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], max_repeat) if sources else []
+        blocks = sainte_lague(aims, round(sum(aims) / block_words))
+        shards = [max(1, min(MAX_SHARDS, -(-n // shard_words))) for n in sizes]
+        table = common.local_table(
+            spark, __none=("boolean", [s[0] for s in sources]), __source=("string", [s[1] for s in sources]), __place=("int", list(range(len(sources)))),
+            source_size=("bigint", sizes), target=("double", aims), __shards=("int", shards),
+        )
+        spread = F.broadcast if len(sources) <= BROADCAST_ROWS else lambda df: df
+
+        def placed(df: DataFrame) -> DataFrame:
+            return df.join(spread(table), ["__none", "__source"]).withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed), "__id", "__size", "__hash"), F.col("__shards")).cast("int"))
+
+        words = {(r["__place"], r["__shard"]): int(r.words) for r in placed(sized).groupBy("__place", "__shard").agg(F.sum("__size").alias("words")).collect()}
     quotas = []
     for i, n_blocks in enumerate(blocks):
         held = [(s, words[i, s]) for s in range(shards[i]) if words.get((i, s))]
         for (s, n), quota in zip(held, sainte_lague([n for _, n in held], n_blocks), strict=True):
             take = min(quota * block_words, max_repeat * n)
             quotas.append((i, s, take // n, take % n))
-    dealt = spark.createDataFrame(quotas, "place int, shard int, passes bigint, rest bigint")
-
-    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null")))), F.col("id"), F.col("size")]
-    w = Window.partitionBy("place", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("end", F.sum("size").over(w)).join(F.broadcast(dealt) if len(quotas) <= BROADCAST_ROWS else dealt, ["place", "shard"], "left")
-    part = F.greatest(F.lit(0), F.least("end", "rest") - (F.col("end") - F.col("size")))
-    taken = F.coalesce(F.col("passes") * F.col("size") + part, F.lit(0)).cast("bigint")
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    dealt = common.local_table(spark, **{name: (kind, [q[i] for q in quotas]) for i, (name, kind) in enumerate([("__place", "int"), ("__shard", "int"), ("__passes", "bigint"), ("__rest", "bigint")])})
+
+    # The order is total but for rows that are alike in every column.
+    hashable = [c for c in keep if "map<" not in rows.schema[c].dataType.simpleString() and "variant" not in rows.schema[c].dataType.simpleString()]
+    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__id").cast("string"), F.lit("null")))), F.col("__id"), F.col("__size"), F.col("__hash"), F.xxhash64(*hashable) if hashable else F.lit(0)]
+    w = Window.partitionBy("__place", "__shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed(rows).withColumn("__end", F.sum("__size").over(w)).join(F.broadcast(dealt) if len(quotas) <= BROADCAST_ROWS else dealt, ["__place", "__shard"], "left")
+    part = F.greatest(F.lit(0), F.least("__end", "__rest") - (F.col("__end") - F.col("__size")))
+    taken = F.coalesce(F.col("__passes") * F.col("__size") + part, F.lit(0)).cast("bigint")
+    return out.select(F.col("__id").alias(id_col), *keep, F.col("__size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
