@@ -4,8 +4,10 @@ Passages are the lines of every whole text, the licence lines of a file taken
 together, and windows of a template's length that run over line ends, so what
 else stands in a notice's line does not count. Windows start at every term for
 templates of up to 31 terms and at every 16th part of the length for longer
-ones. A passage is a sparse vector over the templates' terms; a term's weight
-is its count times its inverse document frequency in the files scanned. By the
+ones. A passage is a sparse vector over all its terms; a term's weight is its
+count times its inverse document frequency in the files scanned, where a term
+that no template has weighs like one that no file holds, so prose around a
+licence's name lengthens the vector and lowers the cosine. By the
 Cauchy-Schwarz inequality a passage whose cosine to a template reaches the
 threshold must hold terms with at least the threshold's square of the
 template's squared norm, so one of its rarest terms, those without which the
@@ -26,8 +28,11 @@ directories.
 
 Defined cases: null text has no lines, a null path is the root's file "";
 repeated rows are each reported; of equal cosines the earliest line, then the
-earliest term, then the first template by name, wins; of several licence files in a directory the first by
-path; empty tables give an empty result; further columns are ignored.
+earliest term, then the first template by name, wins, and the licence lines
+together come after all lines; of several licence files in a directory the
+first by path, then by a hash of the text; texts of any length are scanned
+whole, cut into blocks of ``BLOCK`` window starts; empty tables give an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -227,10 +232,18 @@ def own_licences(files: DataFrame, templates: dict[str, str | tuple[str, ...]],
     norms = [math.sqrt(sum(x * x for x in w.values())) for _, w in weights]
     near = [anchors(w, df, threshold) for _, w in weights]
     lengths = [sum(c.values()) for _, _, c in counts]
-    one = F.broadcast(spark.createDataFrame([(t, x) for t, x in idf.items()], "term string, idf double"))
-    many = F.broadcast(spark.createDataFrame([(t, k, x / norms[k]) for k, (_, w) in enumerate(weights) for t, x in w.items()], "term string, k int, weight double"))
-    kinds = spark.createDataFrame([(k, lengths[k], max(1, lengths[k] // STEPS), near[k]) for k in range(len(weights))], "k int, length int, step int, anchors array<string>")
-    names = F.broadcast(spark.createDataFrame([(k, name, 1.0 if exact else threshold) for k, (name, exact, _) in enumerate(counts)], "k int, licence string, least double"))
+    unseen = math.log(1 + n) + 1
+    one = F.broadcast(common.local_table(spark, term=("string", list(idf)), idf=("double", list(idf.values()))))
+    each = [(t, k, x / norms[k]) for k, (_, w) in enumerate(weights) for t, x in w.items()]
+    many = F.broadcast(common.local_table(spark, term=("string", [e[0] for e in each]), k=("int", [e[1] for e in each]), weight=("double", [e[2] for e in each])))
+    numbers = list(range(len(weights)))
+    kinds = common.local_table(spark, k=("int", numbers), length=("int", lengths), step=("int", [max(1, x // STEPS) for x in lengths]), anchors=("array<string>", near))
+    names = F.broadcast(common.local_table(spark, k=("int", numbers), licence=("string", [c[0] for c in counts]), least=("double", [1.0 if c[1] else threshold for c in counts])))
+
+    def weighed(rows: DataFrame, key: list[str]) -> DataFrame:
+        """The rows' terms by passage, with count and idf."""
+        terms = rows.join(one, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(unseen)))
+        return terms.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
 
     # Files that can match: those with an anchor, then for each template those with enough of its norm.
     anchor = _strings(sorted({t for a in near for t in a}))
@@ -243,8 +256,7 @@ def own_licences(files: DataFrame, templates: dict[str, str | tuple[str, ...]],
 
     lines = hot.select("path", "mark", F.posexplode(F.split("text", "\n")).alias("line", "passage"))
     lines = lines.where(F.arrays_overlap(anchor, F.split(common.ascii_lower(F.col("passage")), "[^a-z0-9]+")))
-    terms_of = lines.select("path", "mark", "line", F.explode(_terms(F.col("passage"))).alias("term")).join(one, "term")
-    single = terms_of.groupBy("path", "mark", "line", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    single = weighed(lines.select("path", "mark", "line", F.explode(_terms(F.col("passage"))).alias("term")), ["path", "mark", "line"])
     whole = single.groupBy("path", "mark", F.lit(-1).alias("line"), "term").agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf"))
     vectors = single.unionByName(whole).withColumn("x", F.col("tf") * F.col("idf"))
     # One row for each passage: its terms, and from them norm and products.
@@ -254,7 +266,7 @@ def own_licences(files: DataFrame, templates: dict[str, str | tuple[str, ...]],
     scored = product.join(norm, key).withColumn("at", F.lit(0))
 
     key = ["path", "mark", "k", "start", "line", "at"]
-    cut = windows(hot, kinds, max(lengths, default=0)).join(one, "term").groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    cut = weighed(windows(hot, kinds, max(lengths, default=0)), key)
     cut = cut.join(many, ["k", "term"], "left").withColumn("x", F.col("tf") * F.col("idf"))
     inside = cut.groupBy(*key).agg(F.sum(F.col("x") * F.coalesce("weight", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
 
@@ -278,7 +290,9 @@ def licence_scan(files: DataFrame, path: Column, text: Column, is_licence_file:
     """
     rows = files.select(*(keep or []), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    own = common.materialize(own_licences(rows.select("path", "mark", "text"), templates or ALL_TEMPLATES, threshold), "licences")
+    with common.storage(files.sparkSession, "licences"):
+        distinct = rows.select("path", "mark", "text")
+        own = common.materialize(own_licences(distinct, templates or ALL_TEMPLATES, threshold), "licences")
     named = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
     directory = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise("")
     above = own.where(named if is_licence_file is None else is_licence_file).groupBy(directory(F.col("path")).alias("above")).agg(F.min_by("licence", F.struct("path", "mark")).alias("given"))
