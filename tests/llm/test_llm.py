@@ -180,7 +180,7 @@ def test_token_counts_equal_the_library(spark, rows):
 
 
 def test_urls(spark):
-    urls = [None, "", "nothing", "http://WWW.Example.com/en/7x?q#f", "x://a.com/en/", "http://example.net/de/81", "http://sub.org/es/a", "http://cheap-pills.example.org/xx", "http://library.example.org/fr/1"]
+    urls = [None, "", "nothing", "http://WWW.Example.com/en/7x?q#f", "x://a.com/en/", "http://example.net/de/81", "http://sub.org/es/a", "http://pharma-pills.example.org/xx", "http://library.example.org/fr/1"]
     got = [r for r in url_filters.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), url_filters.RULES).orderBy("page_id").collect()]
     assert [(r.host, r.path) for r in got[:4]] == [("", ""), ("", ""), ("", ""), ("www.example.com", "/en/7x")]
     assert [r.rule for r in got] == [None, None, None, "example.com/en/7", "com/en/", "example.net/de/8", "org/es/", None, None]
