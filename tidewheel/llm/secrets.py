@@ -16,9 +16,11 @@ lines, nearly all, are settled without decoding and without loss.
 Spans of the model that reach beyond the base spans are added whole as kind ``crf``; base
 spans always stay. Spans are in code points, the end exclusive.
 
-Defined cases: null or empty text has no spans; rows are scanned each,
-repeated or not; null ids are kept; an empty table gives an empty result;
-further columns are ignored.
+Defined cases: null or empty text has no spans; texts and lines of any length
+are scanned whole, and a line without a token that could begin a span costs no
+decoding; of equally good tag sequences the one with the lower tags (outside,
+begin, inside) wins; rows are scanned each, repeated or not; null ids are
+kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +54,9 @@ TOKEN = re.compile(r"[\w+/.~-]+|[^\w\s+/.~-]")
 _LINE_TOKEN = re.compile(r"[\w+/.~-]+|[^\w\s+/.~-]|\n")
 _HOT = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|sign|pwd|login|client|access", re.IGNORECASE)
 _PREFIX = re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[_-]|pk_|rk_|AIza|ya29\.|eyJ|SG\.|npm_|pypi-|hf_|dop_v1_|shpat_|AKIA|ASIA|AGE-|whsec_)")
-
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_STAMP = re.compile(r"\d{4}-\d\d-\d\d|\d{8}T?\d")
+_FILE = re.compile(r"\.(?:py|js|css|html?|png|jpe?g|gif|svg|pdf|zip|gz|txt|md|json|ya?ml|xml|csv|java|rs|go|c|h|cpp|so|whl)$", re.IGNORECASE)
 
 # Greedy runs of at least that many characters are just the long ones among all greedy runs.
 _LONG_HEX = re.compile(HEX.pattern[:-1] + "{%d,}" % MIN_HEX)
@@ -90,6 +94,8 @@ def own_features(token: str) -> list[str]:
     ]
     if n == 1:
         out.append(f"char{token}")
+    if n >= 16:  # what looks random but names things in the open
+        out += [f"uuid{bool(_UUID.fullmatch(token))}", f"url{token.startswith('//')}", f"path_like{token.count('/') >= 2 and max(map(len, token.split('/'))) < n * 3 // 4}", f"stamp{bool(_STAMP.match(token))}", f"file{bool(_FILE.search(token))}"]
     if "/" in token or "." in token:
         out.append(f"path{token.count('/') + token.count('.') > 1}{n >= 20 and turns >= 6}")
     return out
@@ -150,12 +156,17 @@ def _word(rng: np.random.Generator) -> str:
 
 
 def _plain(rng: np.random.Generator) -> str:
-    kind, d = int(rng.integers(0, 14)), "0123456789"
+    kind, d, h = int(rng.integers(0, 20)), "0123456789", "0123456789abcdef"
     return [
         lambda: _of(rng, d, 1, 8), lambda: _of(rng, d, 12, 20), lambda: ".".join(_of(rng, d, 1, 4) for _ in range(4)), lambda: f"{_word(rng)}@{_word(rng)}.example.com",
         lambda: f"https://www.{_word(rng)}.example.org/en/{_of(rng, d, 1, 5)}?page={_of(rng, d, 1, 3)}", lambda: f"20{_of(rng, d, 2, 3)}-0{_of(rng, d, 1, 2)}-1{_of(rng, d, 1, 2)}", lambda: f"+49-{_of(rng, d, 3, 4)}-{_of(rng, d, 4, 9)}",
         lambda: f"{_of(rng, d, 1, 3)}.{_of(rng, d, 1, 3)}.{_of(rng, d, 1, 3)}", lambda: "_".join(_word(rng) for _ in range(4)), lambda: "/".join(["src", *(_word(rng) for _ in range(3))]) + ".py",
         lambda: f"{_word(rng)}{_word(rng).capitalize()}{_word(rng).capitalize()}", lambda: _word(rng) + ["&&&", "%%%", "$$$", "###", "***", "!!"][int(rng.integers(0, 6))], lambda: "|", lambda: f"{_word(rng)}-{_word(rng)}-{_of(rng, d, 1, 3)}",
+        # Identifiers that are no secrets, however random.
+        lambda: (lambda u: u.upper() if rng.random() < 0.2 else u)("-".join(_of(rng, h, n, n + 1) for n in (8, 4, 4, 4, 12))),
+        lambda: f"http{['', 's'][int(rng.integers(0, 2))]}://{['www.', '', 'cdn.'][int(rng.integers(0, 3))]}{_word(rng).strip('.,;:!?')}.example.{['com', 'net', 'org'][int(rng.integers(0, 3))]}/{['en', 'v', 'img', 'watch'][int(rng.integers(0, 4))]}/{_of(rng, _ALNUM, 8, 33)}{['', '.png', '/', '?v=2'][int(rng.integers(0, 4))]}",
+        lambda: f"20{_of(rng, d, 2, 3)}-0{_of(rng, d, 1, 2)}-1{_of(rng, d, 1, 2)}T{_of(rng, d, 2, 3)}:{_of(rng, d, 2, 3)}:{_of(rng, d, 2, 3)}.{_of(rng, d, 3, 7)}Z",
+        lambda: f"{_word(rng).strip('.,;:!?')}-{_of(rng, d, 1, 2)}.{_of(rng, d, 1, 3)}.{_of(rng, d, 1, 2)}-py3-none-any.whl", lambda: f"IMG_20{_of(rng, d, 6, 7)}_{_of(rng, d, 6, 7)}.jpg", lambda: f"/usr/lib/{_word(rng)}/{_word(rng)}{_of(rng, d, 1, 3)}/{_word(rng)}.so",
     ][kind]()
 
 
@@ -180,7 +191,7 @@ def sentence(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
             text += f"{_NAMES[int(rng.integers(0, len(_NAMES)))]}{['=', ': ', ' = '][int(rng.integers(0, 3))]}{_plain(rng)}"
         elif kind < 0.24:
             text += f"{_KEYS[int(rng.integers(0, len(_KEYS)))]} {_word(rng)}"  # a key word in prose
-        elif kind < 0.36:
+        elif kind < 0.4:
             text += _plain(rng)
         else:
             text += _word(rng)
@@ -211,7 +222,7 @@ _NEVER = -30.0
 
 
 @functools.lru_cache(maxsize=2)
-def train(sentences: int = 1000, seed: int = 3, steps: int = 90, rate: float = 0.12, l2: float = 2e-3) -> Crf:
+def train(sentences: int = 1600, seed: int = 3, steps: int = 90, rate: float = 0.12, l2: float = 2e-3) -> Crf:
     """Adam on the exact conditional likelihood; I after O, or first, is never allowed."""
     if sentences > MAX_TRAIN:
         raise ValueError(f"more than {MAX_TRAIN} training sentences")
@@ -431,6 +442,29 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "found"
     return docs.withColumn(out_col, scan(F.col(text_col), sent))
 
 
+def full_decode(crf: Crf, text: str) -> list[tuple[int, int]]:
+    """The model's spans with every line decoded, for comparison with ``Scanner.spans``."""
+    out: list[tuple[int, int]] = []
+    whole, offset = crf.file_scores(text), 0
+    edge_before, edge_after = (crf.own[_slots(["edge"], part)].sum(axis=0) for part in ("previous", "next"))
+    for line in text.split("\n"):
+        at = list(TOKEN.finditer(line))
+        tokens = [m.group() for m in at]
+        if tokens:
+            e = np.array([
+                crf.own_scores(t) + (crf.previous_scores(tokens[i - 1]) if i else edge_before) + (crf.next_scores(tokens[i + 1]) if i + 1 < len(tokens) else edge_after) + whole for i, t in enumerate(tokens)
+            ])
+            open_ = False
+            for m, tag in zip(at, viterbi(e, crf.transition, crf.start), strict=True):
+                if tag == B:
+                    out.append((offset + m.start(), offset + m.end()))
+                elif tag == I and open_:
+                    out[-1] = (out[-1][0], offset + m.end())
+                open_ = tag != O
+        offset += len(line) + 1
+    return out
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span of the text replaced by a mark; texts without spans are unchanged."""
     found = find_secrets(docs, text_col, "__found")
