@@ -119,3 +119,29 @@ def test_pair_filter_keeps_what_reaches_the_threshold(spark):
     assert got == {0: 0, 1: 0}
     got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame([(0, texts[0]), (1, texts[2])], "doc_id bigint, text string")).collect()}
     assert got == {0: 0, 1: 1}
+
+
+def test_very_large_classes_meet_their_label(spark):
+    """More copies of one text than a slice holds, many null and empty texts, and null ids among them."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i if i % 7 else None, text) for i in range(2500)] + [(5000 + i, None if i % 2 else "") for i in range(2100)] + [(9000, text + " more"), (9001, "alone " * 9)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.n_shingles in (36, 37)} == {1}
+    assert all(r.component_id == r.doc_id and r.kept for r in got if r.n_shingles == 0)
+    assert [r.component_id for r in got if r.doc_id == 9001] == [9001]
+
+
+def test_links_between_components_of_shared_passages(spark):
+    """Families of texts around one long passage: only true links join them, whatever the sketches suggest."""
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(10 * f + k, " ".join(shared + [f"f{f}x{i}" for i in range(25 + k)])) for f in range(12) for k in range(4)]
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: min(j for j in root if root[j] == r) for i, r in root.items()}

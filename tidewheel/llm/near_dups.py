@@ -18,17 +18,23 @@ similarity alone for sets of given sizes.
    wide margin (``LIKELIHOOD_MARGIN``, about 1e-9), otherwise it is verified on
    the full sets.
 5. Components of the verified links. Where a bucket holds members of different
-   components, these are compared on their full sets, in blocks of bounded size
-   and through inverted indexes, so no link between components is lost and no
-   pair becomes a row. A bucket of copies is one component after step 4 and
-   costs nothing here.
+   components, their sketches are compared in blocks of bounded size, each pair
+   in the first band that it shares; pairs that pass the likelihood test tie
+   their classes into groups. Only within such a group are full sets compared,
+   in blocks and through inverted indexes, so no link between components is
+   lost, no pair becomes a row, and passages that many documents share do not
+   draw them into one group. A bucket of copies is one component after step 4
+   and costs nothing here.
+6. A class with very many rows meets its label in slices of bounded size.
 
 Sets hold 64-bit fingerprints of shingles; a set's identity is 128 bits.
 
 Defined cases: null or empty text has no shingles, is linked with nothing and
-is its own component; rows with one id are judged each by its own text; a null
-id takes part, and is null as a component only where no other id is in it; an
-empty table gives an empty result; further columns are ignored.
+is its own component; rows with one id are judged each by its own text; rows
+that repeat id and text are each reported; a null id takes part, and is null
+as a component only where no other id is in it; a similarity of exactly the
+threshold links; texts of any length count with all their shingles; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import common
@@ -53,6 +59,11 @@ PERCENT = 75
 LIKELIHOOD_MARGIN = 18.0
 #: Shingles of a block, of which a task that looks for links between components holds two.
 BLOCK_SHINGLES = 400_000
+#: Sketches of a block, of which a task that ties classes into groups holds two.
+BLOCK_SKETCHES = 2048
+#: Rows of a class that go to one task when labels are joined; more in a table so large that HOT_CLASSES would have more.
+SLICE_ROWS = 1000
+HOT_CLASSES = 10_000
 #: Shingles whose register values are taken at once, for bounded memory on long texts.
 BLOCK = 2048
 
@@ -118,6 +129,7 @@ def may_reach(threshold: float, n1: np.ndarray, n2: np.ndarray, r1: np.ndarray,
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done = 0  # numbers the task's rows, by which a large class is cut into slices
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
             part = batch.slice(start, 1024)
@@ -127,7 +139,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sketches.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["id", "hash", "n", "key", "sketch"])
+            rows = pa.array(range(done, done + part.num_rows), pa.int64())
+            done += part.num_rows
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["id", "hash", "row", "n", "key", "sketch"])
 
 
 def _compatible(percent: int):
@@ -203,76 +217,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept, text_hash) of every row; the hash tells rows of one id apart."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    sketched = common.materialize(narrow.withColumn("hash", F.xxhash64("text")).mapInArrow(_sketched, common.schema(id=kind, hash="bigint", n="bigint", key="binary", sketch="binary")), "dup-sketches")
-    classes = sketched.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = common.materialize(classes, "dup-classes")
-
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    member = classes.select("key", "n", F.explode(bands).alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "first")
-    member = common.materialize(member.join(shared, "bucket"), "dup-buckets")  # only buckets that two classes or more share
-
-    star = member.where(F.col("key") != F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-    star = common.materialize(star, "dup-pairs")
-    paired = star.select(F.col("a").alias("key")).union(star.select(F.col("b").alias("key"))).union(member.select("key")).distinct()
-    spoken = classes.select("key", F.col("id").alias("__id")).join(paired, "key", "left_semi")
-    # A class speaks through the text of one of its rows, the first by id.
-    named = sketched.select("id", "key").join(spoken, "key").where(F.col("id").eqNullSafe(F.col("__id"))).select("key", F.col("id").alias("__id")).distinct()
-    texts = _texts(narrow, named)
-
-    links = _verified(star, classes, texts, percent)
-    joined = components(links)
-
-    more = _between_components(member, joined, texts, percent)
-    joined = components(links.unionByName(more))
-    # The component's name is the smallest id in it; null only where there is no other.
-    least = joined.join(classes.select("key", "id"), "key").groupBy("root").agg(F.min("id").alias("least"))
-    label = joined.join(least, "root").select("key", "least")
-
-    out = sketched.select("id", "hash", F.col("n").alias("n_shingles"), "key").join(label, "key", "left")
-    out = out.join(classes.select("key", F.col("id").alias("own")), "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.coalesce("least", "own"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("hash").alias("text_hash"))
-
-
-def _between_components(member: DataFrame, joined: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    with common.storage(docs.sparkSession, "dup-sketches", "dup-labels"):
+        sketched = common.materialize(narrow.withColumn("hash", F.xxhash64("text")).mapInArrow(_sketched, common.schema(id=kind, hash="bigint", row="bigint", n="bigint", key="binary", sketch="binary")), "dup-sketches")
+        # A class has the smallest of its ids as its name and speaks through the text of its first row by id and hash.
+        classes = sketched.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min(F.struct("id", "hash")).alias("speaker"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+        classes = common.materialize(classes, "dup-classes")
+
+        bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket")))
+        member = classes.select("key", "n", F.explode(bands).alias("b")).select("key", "n", "b.*")
+        shared = member.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "first")
+        member = common.materialize(member.join(shared, "bucket"), "dup-buckets")  # only buckets that two classes or more share
+
+        star = member.where(F.col("key") != F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
+        star = common.materialize(star, "dup-pairs")
+        paired = star.select(F.col("a").alias("key")).union(star.select(F.col("b").alias("key"))).union(member.select("key")).distinct()
+        texts = _texts(narrow, classes.join(paired, "key", "left_semi").select("key", "speaker.id", "speaker.hash"))
+
+        links = _verified(star, classes, texts, percent)
+        joined = components(links)
+        more = _between_components(member, joined, classes, texts, percent)
+        joined = components(links.unionByName(more))
+        # The component's name is the smallest id in it; null only where there is no other.
+        least = joined.join(classes.select("key", "id"), "key").groupBy("root").agg(F.min("id").alias("least"))
+        label = classes.select("key", F.col("id").alias("own"), "rows").join(joined.join(least, "root").select("key", "least"), "key", "left")
+        label = common.materialize(label.select("key", F.coalesce("least", "own").alias("label"), "rows"), "dup-labels")
+        total = sketched.count()
+
+    slice_rows = max(SLICE_ROWS, -(-total // HOT_CLASSES))
+    slices = F.ceil(F.col("rows") / slice_rows).cast("bigint")
+    hot = F.broadcast(label.where(F.col("rows") > slice_rows).select("key", slices.alias("slices")))  # HOT_CLASSES rows at most
+    named = label.select("key", "label", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"))
+    # Rows without a set have no label to meet; they are spread like the others.
+    of = F.when(F.col("key").isNull(), F.col("row")).otherwise(F.coalesce(F.pmod("row", "slices"), F.lit(0)))
+    out = sketched.select("id", "hash", "row", "n", "key").join(hot, "key", "left").withColumn("slice", of).join(named, ["key", "slice"], "left")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("label"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("hash").alias("text_hash"))
+
+
+def _upto(n: Column) -> Column:
+    return F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _between_components(member: DataFrame, joined: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components which share a bucket; of many that join the same two, one from a task.
 
-    The members of buckets with several components form groups, connected by
-    such buckets. A group is cut into size classes by the factor 4 / 3 (linked
-    sets are in one class or in neighbours) and these into blocks of about
-    ``BLOCK_SHINGLES``. A task holds two blocks and counts the shingles that
-    their texts share through an inverted index; pairs are never rows.
+    Groups, tied by pairs of sketches that may reach the similarity, are cut
+    into size classes by the factor 4 / 3 (linked sets are in one class or in
+    neighbours) and these into blocks of about ``BLOCK_SHINGLES``. A task holds
+    two blocks and counts the shingles that their texts share through an
+    inverted index; pairs are never rows.
     """
-    of = member.select("bucket", "key", "n").join(joined.withColumnRenamed("root", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    of = member.select("bucket", "band", "key", "n").join(joined.withColumnRenamed("root", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
     of = common.materialize(of, "dup-open")
-    mixed = of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("key").alias("first")).where("low != high").select("bucket", "first")
-    still = common.materialize(of.join(mixed, "bucket"), "dup-still")
-    rest = common.materialize(still.select("key", "n", "c").distinct(), "dup-rest")
-    links = still.where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    group = components(links).withColumnRenamed("root", "g")
+    mixed = of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high").select("bucket", F.ceil(F.col("members") / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    still = of.join(mixed, "bucket").withColumn("i", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int"))
+    deal = F.transform(_upto(F.col("blocks")), lambda j: F.struct(F.least("i", j).alias("i1"), F.greatest("i", j).alias("i2"), F.when(F.col("i") == j, 3).when(F.col("i") < j, 1).otherwise(2).alias("side")))
+    dealt = still.select("bucket", "band", "key", "n", "c", F.explode(deal).alias("task")).select("bucket", "band", "key", "n", "c", "task.*").join(classes.select("key", "sketch"), "key")
+    ties = common.materialize(dealt.groupBy("bucket", "i1", "i2").applyInArrow(_ties(percent), common.schema(a="binary", b="binary")), "dup-ties")
+    common.release(of)
+
+    tied = ties.select(F.col("a").alias("key")).union(ties.select(F.col("b").alias("key"))).distinct()
+    rest = tied.join(classes.select("key", "n"), "key").join(joined.withColumnRenamed("root", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    group = components(ties).withColumnRenamed("root", "g")
     size_class = F.floor(F.log(F.col("n") * 1.0) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     rest = common.materialize(rest.join(group, "key").withColumn("s", size_class), "dup-rest")
     blocks = rest.groupBy("g", "s").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = rest.join(blocks, ["g", "s"]).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     own = own.join(blocks.select("g", (F.col("s") - 1).alias("s"), F.col("blocks").alias("above")), ["g", "s"], "left")
     own = own.join(blocks.select("g", (F.col("s") + 1).alias("s"), F.col("blocks").alias("below")), ["g", "s"], "left")
-    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def task(s1, i1, s2, i2, side):
         return F.struct(s1.alias("s1"), i1.alias("i1"), s2.alias("s2"), i2.alias("i2"), side.alias("side"))
 
     s, i = F.col("s"), F.col("i")
     tasks = F.concat(
-        F.transform(upto(F.col("blocks")), lambda j: task(s, F.least(i, j), s, F.greatest(i, j), F.when(i == j, 3).when(i < j, 1).otherwise(2))),
-        F.transform(upto(F.col("above")), lambda j: task(s, i, s + 1, j, F.lit(1))),
-        F.transform(upto(F.col("below")), lambda j: task(s - 1, j, s, i, F.lit(2))),
+        F.transform(_upto(F.col("blocks")), lambda j: task(s, F.least(i, j), s, F.greatest(i, j), F.when(i == j, 3).when(i < j, 1).otherwise(2))),
+        F.transform(_upto(F.col("above")), lambda j: task(s, i, s + 1, j, F.lit(1))),
+        F.transform(_upto(F.col("below")), lambda j: task(s - 1, j, s, i, F.lit(2))),
     )
     dealt = own.select("key", "c", "g", F.explode(tasks).alias("task")).select("key", "c", "g", "task.*").join(texts, "key")
     out = dealt.groupBy("g", "s1", "i1", "s2", "i2").applyInArrow(_block_links(percent), common.schema(a="binary", b="binary"))
     return common.materialize(out, "dup-verified")
 
 
+class _Forest:
+    """Union of names; ``join`` says whether two were apart."""
+
+    def __init__(self) -> None:
+        self.parent: dict[bytes, bytes] = {}
+
+    def root(self, c: bytes) -> bytes:
+        parent = self.parent
+        parent.setdefault(c, c)
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[x] = y
+        return x != y
+
+
+def _ties(percent: int):
+    def ties(rows: pa.Table) -> pa.Table:
+        """Of the pairs of two blocks of one bucket that are in different components, first share this band and may reach the similarity, as many as tie their classes together."""
+        keys, comps, sides = rows.column("key").to_pylist(), rows.column("c").to_pylist(), np.array(rows.column("side").to_pylist())
+        n = rows.column("n").to_numpy()
+        band = rows.column("band")[0].as_py()
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype="<u2").reshape(len(keys), REGISTERS)
+        of = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]
+        packed = np.ascontiguousarray(sketches).view("<u8")  # a band of four registers is one number
+        left, right = np.flatnonzero(sides & 1), np.flatnonzero(sides & 2)
+        same = bool((sides == 3).all())
+        forest, found = _Forest(), []
+        for k in left:
+            with_ = right[(of[right] != of[k]) & (np.minimum(n[right], n[k]) * 100 >= percent * np.maximum(n[right], n[k]))]
+            if same:
+                with_ = with_[with_ > k]
+            if band:
+                with_ = with_[~(packed[with_, :band] == packed[k, :band]).any(axis=1)]
+            for start in range(0, len(with_), 4096):
+                part = with_[start : start + 4096]
+                fits, _ = may_reach(percent / 100, np.full(len(part), n[k]), n[part], np.broadcast_to(sketches[k], (len(part), REGISTERS)), sketches[part])
+                found += [(keys[k], keys[j]) for j in part[fits] if forest.join(keys[k], keys[j])]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return ties
+
+
 def _block_links(percent: int):
     def links(rows: pa.Table) -> pa.Table:
         keys, comps, sides = rows.column("key").to_pylist(), rows.column("c").to_pylist(), rows.column("side").to_pylist()
@@ -280,13 +354,7 @@ def _block_links(percent: int):
         sets = [shingles(t.as_py()) for t in rows.column("text").cast(pa.binary())]
         found: list[tuple[bytes, bytes]] = []
         if left and right:
-            parent = {c: c for c in comps}
-
-            def root(c: bytes) -> bytes:
-                while parent[c] != c:
-                    parent[c] = c = parent[parent[c]]
-                return c
-
+            forest = _Forest()
             # The right side's inverted index: for each shingle where its documents begin and how many there are.
             size = np.array([len(sets[k]) for k in right])
             every, owner = np.concatenate([sets[k] for k in right]), np.repeat(np.arange(len(right)), size)
@@ -302,18 +370,18 @@ def _block_links(percent: int):
                 both = np.bincount(owner[into], minlength=len(right))
                 for j in np.flatnonzero(100 * both >= percent * (len(sets[k]) + size - both)):
                     other = right[j]
-                    x, y = root(comps[k]), root(comps[other])
-                    if x != y:
-                        parent[x] = y
+                    if forest.join(comps[k], comps[other]):
                         found.append((keys[k], keys[other]))
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return links
 
 
-def _texts(narrow: DataFrame, named: DataFrame) -> DataFrame:
-    """(key, text) for the classes that are in a pair; rows that share an id are told apart by their sets."""
-    got = narrow.join(named, F.col("id").eqNullSafe(F.col("__id"))).select("key", "text")
+def _texts(narrow: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(key, text) of the classes; spoken: key, and id and hash of a row. Rows alike in id and hash are told apart by their sets."""
+    spoken = spoken.select("key", F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    hashed = narrow.withColumn("hash", F.xxhash64("text"))
+    got = hashed.join(spoken, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("key", "text")
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
