@@ -61,6 +61,8 @@ LIKELIHOOD_MARGIN = 18.0
 BLOCK_SHINGLES = 400_000
 #: Sketches of a block, of which a task that ties classes into groups holds two.
 BLOCK_SKETCHES = 2048
+#: Pairs of sketches that such a task looks at at once, and 64 times fewer whose registers it compares at once.
+PAIRS = 1 << 18
 #: Rows of a class that go to one task when labels are joined; more in a table so large that HOT_CLASSES would have more.
 SLICE_ROWS = 1000
 HOT_CLASSES = 10_000
@@ -267,7 +269,8 @@ def _between_components(member: DataFrame, joined: DataFrame, classes: DataFrame
     two blocks and counts the shingles that their texts share through an
     inverted index; pairs are never rows.
     """
-    of = member.select("bucket", "band", "key", "n").join(joined.withColumnRenamed("root", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    # The first member's pairs were verified as the star's; what is left are pairs of the others.
+    of = member.where(F.col("key") != F.col("first")).select("bucket", "band", "key", "n").join(joined.withColumnRenamed("root", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
     of = common.materialize(of, "dup-open")
     mixed = of.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high").select("bucket", F.ceil(F.col("members") / BLOCK_SKETCHES).cast("int").alias("blocks"))
     still = of.join(mixed, "bucket").withColumn("i", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int"))
@@ -330,18 +333,22 @@ def _ties(percent: int):
         of = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]
         packed = np.ascontiguousarray(sketches).view("<u8")  # a band of four registers is one number
         left, right = np.flatnonzero(sides & 1), np.flatnonzero(sides & 2)
-        same = bool((sides == 3).all())
         forest, found = _Forest(), []
-        for k in left:
-            with_ = right[(of[right] != of[k]) & (np.minimum(n[right], n[k]) * 100 >= percent * np.maximum(n[right], n[k]))]
-            if same:
-                with_ = with_[with_ > k]
-            if band:
-                with_ = with_[~(packed[with_, :band] == packed[k, :band]).any(axis=1)]
-            for start in range(0, len(with_), 4096):
-                part = with_[start : start + 4096]
-                fits, _ = may_reach(percent / 100, np.full(len(part), n[k]), n[part], np.broadcast_to(sketches[k], (len(part), REGISTERS)), sketches[part])
-                found += [(keys[k], keys[j]) for j in part[fits] if forest.join(keys[k], keys[j])]
+        rows_at_once = max(1, PAIRS // max(1, len(right)))
+        for start in range(0, len(left), rows_at_once):
+            i = left[start : start + rows_at_once, None]
+            apart = (of[i] != of[right]) & (np.minimum(n[i], n[right]) * 100 >= percent * np.maximum(n[i], n[right]))
+            if sides[0] == 3:  # one block against itself
+                apart &= i < right
+            a, b = np.nonzero(apart)
+            a, b = i[a, 0], right[b]
+            for earlier in range(band):
+                new = packed[a, earlier] != packed[b, earlier]
+                a, b = a[new], b[new]
+            for part in range(0, len(a), PAIRS // 64):
+                x, y = a[part : part + PAIRS // 64], b[part : part + PAIRS // 64]
+                fits, _ = may_reach(percent / 100, n[x], n[y], sketches[x], sketches[y])
+                found += [(keys[k], keys[j]) for k, j in zip(x[fits], y[fits], strict=True) if forest.join(keys[k], keys[j])]
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return ties
