@@ -24,5 +24,12 @@ def nanos(ts: Column) -> Column:
     return (F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts) * 1000).cast("bigint")
 
 
+def floored(t: Column, size: int, start: int = 0) -> Column:
+    """The last of start, start + size and so on, and before it, that is not after t; in integers, exact at any time."""
+    return t - F.pmod(t - F.lit(start).cast("bigint"), F.lit(size).cast("bigint"))
+
+
 def display(t: Column) -> Column:
-    return F.format_string("%d.%09d", F.expr("1") * F.floor(t / SECOND), t % SECOND)
+    """Seconds with nine digits after the point; before the epoch the fraction still counts upwards."""
+    rest = F.pmod(t, F.lit(SECOND).cast("bigint"))
+    return F.concat(F.call_function("div", t - rest, F.lit(SECOND).cast("bigint")).cast("string"), F.lit("."), F.lpad(rest.cast("string"), 9, "0"))

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.errors import ChannelError, GraphMismatch, StreamError
-from tidewheel.functions.times import duration
+from tidewheel.functions.times import duration, floored
 from tidewheel.operators import combine, custom, folds, stateless, timed, windows
-from tidewheel.plans.frames import STEP, align, numbered
+from tidewheel.plans.frames import STEP, align, numbered, ordered, unique_steps
 from tidewheel.sources import files
 
 
@@ -67,7 +68,7 @@ class Summary:
 class Run:
     """A bounded run. Frames are lazy; the last step of the run is found only where something asks for it."""
 
-    def __init__(self, graph: Graph, spec: Replay, last: tuple[int, int] | None = None, on_error: str = "fail", raw: bool = False) -> None:
+    def __init__(self, graph: Graph, spec: Replay, last: DataFrame | None = None, on_error: str = "fail", raw: bool = False) -> None:
         self.graph, self.spec, self.start, self.last, self.on_error, self.raw = graph, spec, spec.start, last, on_error, raw
         self._halted: DataFrame | None = None
         self.end = spec.stop.value if spec.stop.kind == "at" else spec.start + spec.stop.value if spec.stop.kind == "after" else None
@@ -78,16 +79,20 @@ class Run:
         if self.end is not None:
             frame = frame.where(F.col("t") <= self.end)
         if self.last is not None:
-            t, sub = self.last
-            frame = frame.where((F.col("t") < t) | ((F.col("t") == t) & (F.col("sub") <= sub)))
+            frame = self._until(frame, self.last)
         halted = self.halted()
-        if halted is None:
-            return frame
+        return frame if halted is None else self._until(frame, halted)
+
+    def _until(self, frame: DataFrame, ends: DataFrame) -> DataFrame:
+        """Rows up to the end of their key's run, where ends (keys..., t, sub) has one; a null key is a key."""
+        keys = self.graph.keys
         until = F.struct(*STEP) <= F.struct(F.col("__h.t"), F.col("__h.sub"))
-        if self.graph.keys:
-            both = frame.join(halted.select(*self.graph.keys, F.struct(*STEP).alias("__h")), self.graph.keys, "left")
+        if keys:
+            there = ends.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*STEP).alias("__h"))
+            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+            both = frame.join(there, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
         else:
-            both = frame.withColumn("__h", halted.select(F.struct(*STEP)).scalar())
+            both = frame.withColumn("__h", ends.select(F.struct(*STEP)).scalar())
         return both.where(F.col("__h").isNull() | until).drop("__h")
 
     def halted(self) -> DataFrame | None:
@@ -155,10 +160,12 @@ class Run:
         return self._ended
 
     def summary(self) -> Summary:
-        """Of a run that did not fail."""
+        """Of a run that did not fail. In a keyed graph each key is a run, with a final step of its own."""
         self.check()
-        got = self.steps().agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).first()
-        return Summary(got.n + self.graph.has_final, self.start, self.start if got.t is None else got.t)
+        keys = self.graph.keys
+        runs = F.count_distinct(F.struct(*keys)) if keys else F.lit(1)
+        got = self.steps().agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"), runs.alias("runs")).first()
+        return Summary(got.n + self.graph.has_final * got.runs, self.start, self.start if got.t is None else got.t)
 
     def check(self) -> None:
         """Raises the failure that ended a run with ``on_error="prefix"``; with keys the first one of any key."""
@@ -270,12 +277,15 @@ class Graph:
 
         return self._add(build, build)
 
-    def replay(self, df: DataFrame, t: Column | str, v: Column | str, order: Sequence[Column | str] = ()) -> Stream:
-        """A table's rows as steps, in the order of t and then of ``order``; rows before the start fail the run."""
+    def replay(self, df: DataFrame, t: Column | str, v: Column | str, order: Sequence[Column | str] = (), unique: bool = False) -> Stream:
+        """A table's rows as steps, in the order of t and then of ``order``; rows before the start fail the run.
+
+        unique: the caller's word that no two rows of a key have one t; the source then needs no shuffle.
+        """
         column = lambda c: F.col(c) if isinstance(c, str) else c
 
         def build(run: Run) -> DataFrame:
-            rows = numbered(df, self.keys, column(t), column(v), order)
+            rows = unique_steps(df, self.keys, column(t), column(v)) if unique else numbered(df, self.keys, column(t), column(v), order)
             sure = F.when(F.col("t") < run.start, F.raise_error(F.format_string("time %d is behind the run's start", "t")).cast("bigint")).otherwise(F.col("t"))
             return rows.withColumn("t", sure)
 
@@ -383,9 +393,13 @@ class Graph:
             raise RuntimeError("the graph is running")
         spec = spec or Replay()
         if spec.stop.kind == "steps":
-            whole = Run(self, Replay(spec.start), on_error=on_error)
-            nth = whole.steps().select(*STEP).distinct().orderBy(*STEP).limit(spec.stop.value).agg(F.max(F.struct(*STEP)).alias("s")).first().s
-            return Run(self, Replay(spec.start), (nth.t, nth.sub) if nth else None, on_error)
+            steps = Run(self, Replay(spec.start), on_error=on_error).steps()
+            last = F.max(F.struct(*STEP)).alias("s")
+            if self.keys:  # each key's run ends at its own n-th step
+                nth = steps.withColumn("__n", F.row_number().over(ordered(self.keys))).where(F.col("__n") <= spec.stop.value).groupBy(*self.keys).agg(last)
+            else:
+                nth = steps.orderBy(*STEP).limit(spec.stop.value).agg(last)
+            return Run(self, Replay(spec.start), nth.select(*self.keys, "s.*"), on_error)
         return Run(self, spec, on_error=on_error)
 
     # Several streams -----------------------------------------------------------------------------------------------
@@ -499,7 +513,7 @@ class Stream:
 
     def custom(self, start: Callable[[], Any], step: Callable[[Any, int, int, Any], tuple[Any, bool, Any]], kind: str) -> Stream:
         """An operator of one's own: a state for each key, called with every step in order."""
-        return self._keyed(folds.sequential, start, step, kind)
+        return self._keyed(folds.stepped, start, step, kind)
 
     def delay(self, by: int) -> Stream:
         d = duration(by, 0)
@@ -522,13 +536,13 @@ class Stream:
 
     def window_tumbling(self, size: int) -> Stream:
         d = duration(size)
-        due = lambda run: run.frame(self).select(*self.graph.keys, (F.expr(f"(t - {run.start}) div {d}") * d + (d + run.start)).alias("t"), F.lit(0).alias("sub"))
+        due = lambda run: run.frame(self).select(*self.graph.keys, (floored(F.col("t"), d, run.start) + d).alias("t"), F.lit(0).alias("sub"))
         return self.graph._add(lambda run: windows.tumbling(run.frame(self), self.graph.keys, d, run.start), due)
 
     def window_sliding(self, size: int, slide: int) -> Stream:
         d, s = duration(size), duration(slide)
         # Armed from a value on until the boundary at which nothing is left of it.
-        due = lambda run: run.frame(self).select(*self.graph.keys, F.explode(F.expr(f"transform(sequence((t - {run.start}) div {s} + 1, (t - {run.start} + {d - 1}) div {s} + 1), k -> k * {s} + {run.start})")).alias("t"), F.lit(0).alias("sub"))
+        due = lambda run: run.frame(self).select(*self.graph.keys, F.explode(F.sequence(floored(F.col("t"), s, run.start) + s, floored(F.col("t") + (d - 1), s, run.start) + s, F.lit(s).cast("bigint"))).alias("t"), F.lit(0).alias("sub"))
         return self.graph._add(lambda run: windows.sliding(run.frame(self), self.graph.keys, d, s, run.start), due)
 
     def with_(self, other: Stream, f: combine.Two) -> Stream:

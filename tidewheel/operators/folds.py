@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
 from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewheel.plans.frames import STEP, ordered, running
 
@@ -86,48 +90,117 @@ def history(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     return frame.withColumn("v", F.collect_list(F.struct(F.col("t").alias("time"), F.col("v").alias("value"))).over(running(keys)))
 
 
-def sequential(frame: DataFrame, keys: Sequence[str], start: Callable[[], Any], step: Callable[[Any, int, int, Any], tuple[Any, bool, Any]], kind: str) -> DataFrame:
-    """For each key in order: ``step(state, t, sub, v)`` gives (state, emit, value).
+def in_order(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., t, sub, v, first): each partition holds whole keys, sorted by key and step; first marks where a key begins."""
+    return frame.select(*keys, *STEP, "v", (F.row_number().over(ordered(keys)) == 1).alias("first"))
 
-    Partitions are sorted and read in batches, the state is carried from batch
-    to batch, so a key of any length takes one state's memory.
+
+def key_runs(first: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(begin, end, whether a key begins there) of the runs of one key within a batch."""
+    edges = np.flatnonzero(first)
+    bounds = [0, *edges[edges > 0].tolist(), len(first)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b > a:
+            yield a, b, bool(first[a])
+
+
+def sequential(frame: DataFrame, keys: Sequence[str], start: Callable[[], Any], step: Callable[[Any, int, int, Any], tuple[Any, list[tuple[int, int, Any]]]], kind: str, finish: Callable[[Any], list[tuple[int, int, Any]]] | None = None) -> DataFrame:
+    """For each key in order: ``step(state, t, sub, v)`` gives the state and the (t, sub, value) that go out, ``finish`` what goes out last.
+
+    Sorted partitions are read in Arrow batches, the state is carried from
+    batch to batch, so a key of any length takes one state's memory.
     """
     keys = list(keys)
-    spread = frame.repartition(*keys) if keys else frame.coalesce(1)
-    sorted_ = spread.sortWithinPartitions(*keys, *STEP).select(*keys, *STEP, "v")
-    schema = T.StructType([*[sorted_.schema[k] for k in keys], T.StructField("t", T.LongType()), T.StructField("sub", T.IntegerType()), T.StructField("v", T._parse_datatype_string(kind))])
+    rows = in_order(frame, keys)
+    value = T._parse_datatype_string(kind)
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("t", T.LongType()), T.StructField("sub", T.IntegerType()), T.StructField("v", value)])
+    types = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state, begun = None, None, False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, key, begun = None, None, False
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False, name=None):
-                key = row[: len(keys)]
-                if not begun or key != at:
-                    at, state, begun = key, start(), True
-                state, emit, value = step(state, *row[len(keys) :])
-                if emit:
-                    rows.append((*row[:-1], value))
-            yield pd.DataFrame(rows, columns=schema.names)
+            n = len(keys)
+            at, subs, values = (batch.column(n + i).to_pylist() for i in range(3))
+            out, of = [], []
+            for a, b, new in key_runs(np.asarray(batch.column(n + 3))):
+                if new:
+                    if begun and finish is not None:
+                        last = finish(state)
+                        out += last
+                        of += [key] * len(last)
+                    state, begun = start(), True
+                    key = tuple(batch.column(i)[a].as_py() for i in range(n))
+                for t, sub, v in zip(at[a:b], subs[a:b], values[a:b], strict=True):
+                    state, emitted = step(state, t, sub, v)
+                    out += emitted
+                    of += [key] * len(emitted)
+            yield _rows(out, of, types)
+        if begun and finish is not None:
+            last = finish(state)
+            yield _rows(last, [key] * len(last), types)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _rows(out: list[tuple[int, int, Any]], of: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+    n = len(types) - 3
+    columns = [pa.array([k[i] for k in of], types.field(i).type) for i in range(n)] + [pa.array([r[i] for r in out], types.field(n + i).type) for i in range(3)]
+    return pa.RecordBatch.from_arrays(columns, schema=types)
+
+
+#: Folds that need no pass in order, as running aggregates: by function, the fold of many values and of two.
+ALGEBRAIC: dict[Callable, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    operator.add: (F.sum, lambda a, b: a + b), max: (F.max, F.greatest), min: (F.min, F.least),
+}
+
+
+def _accumulated(frame: DataFrame, keys: Sequence[str], init: Any, f: Callable[[Any, Any], Any], kind: str) -> DataFrame:
+    """The state after each value, for each key; without an initial state the first value is the first state."""
+    keys = list(keys)
+    rows = in_order(frame, keys)
+    schema = T.StructType([*rows.schema.fields[: len(keys) + 2], T.StructField("v", T._parse_datatype_string(kind))])
+    types = to_arrow_schema(schema)
+    n = len(keys) + 2
 
-    return sorted_.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = []
+        for batch in batches:
+            values, out = batch.column(n).to_pylist(), []
+            for a, b, new in key_runs(np.asarray(batch.column(n + 1))):
+                state = ([] if init is NOTHING else [init]) if new else state
+                after = list(itertools.accumulate(itertools.chain(state, values[a:b]), f))
+                out += after[len(state) :]
+                state = after[-1:]
+            columns = [batch.column(i).cast(types.field(i).type) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, types.field(n).type)], schema=types)
 
+    return rows.mapInArrow(run, schema)
 
-def scan(frame: DataFrame, keys: Sequence[str], init: Any, f: Callable[[Any, Any], Any], kind: str) -> DataFrame:
-    """The state after each value; f gives a new state."""
 
-    def step(state: Any, t: int, sub: int, v: Any) -> tuple[Any, bool, Any]:
-        after = f(state, v)
-        return after, True, after
+NOTHING = object()
+
 
-    return sequential(frame, keys, lambda: init, step, kind)
+def scan(frame: DataFrame, keys: Sequence[str], init: Any, f: Callable[[Any, Any], Any], kind: str) -> DataFrame:
+    """The state after each value; f gives a new state. ``operator.add``, ``max`` and ``min`` over numbers of that kind are window functions."""
+    if f in ALGEBRAIC and frame.schema["v"].dataType == T._parse_datatype_string(kind) and isinstance(frame.schema["v"].dataType, T.IntegralType):
+        many, two = ALGEBRAIC[f]
+        return frame.withColumn("v", two(many("v").over(running(keys)), F.lit(init)).cast(kind))
+    return _accumulated(frame, keys, init, f, kind)
 
 
 def reduce(frame: DataFrame, keys: Sequence[str], f: Callable[[Any, Any], Any], kind: str | None = None) -> DataFrame:
     """Seeded by the first value."""
+    own = frame.schema["v"].dataType
+    if f in ALGEBRAIC and kind in (None, own.simpleString()) and isinstance(own, T.IntegralType):
+        return frame.withColumn("v", ALGEBRAIC[f][0]("v").over(running(keys)).cast(own))
+    return _accumulated(frame, keys, NOTHING, f, kind or own.simpleString())
+
+
+def stepped(frame: DataFrame, keys: Sequence[str], start: Callable[[], Any], step: Callable[[Any, int, int, Any], tuple[Any, bool, Any]], kind: str) -> DataFrame:
+    """As ``sequential`` for a step that gives (state, emit, value), at most one value at the step's own time."""
 
-    def step(state: Any, t: int, sub: int, v: Any) -> tuple[Any, bool, Any]:
-        after = v if state is None else f(state[0], v)
-        return (after,), True, after
+    def one(state: Any, t: int, sub: int, v: Any) -> tuple[Any, list[tuple[int, int, Any]]]:
+        state, emit, value = step(state, t, sub, v)
+        return state, [(t, sub, value)] if emit else []
 
-    return sequential(frame, keys, lambda: None, step, kind or frame.schema["v"].dataType.simpleString())
+    return sequential(frame, keys, start, one, kind)

@@ -20,7 +20,8 @@ def filter_(frame: DataFrame, keep: Expr) -> DataFrame:
     if tested.schema["__keep"].dataType.simpleString() != "boolean":
         raise TypeError("filter predicate must return bool")
     sure = F.when(F.col("__keep").isNull(), F.raise_error(F.lit("filter predicate must return bool")).cast("boolean")).otherwise(F.col("__keep"))
-    return tested.where(sure).drop("__keep")
+    # The first condition, which the scan can use, keeps the rows of the second.
+    return tested.where(F.col("__keep").isNull() | F.col("__keep")).where(sure).drop("__keep")
 
 
 def filter_map(frame: DataFrame, f: Expr) -> DataFrame:

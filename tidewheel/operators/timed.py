@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import Any
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.times import duration
-from tidewheel.operators.folds import sequential
-from tidewheel.plans.frames import STEP, ordered
+from tidewheel.operators.folds import in_order, key_runs
+from tidewheel.plans.frames import ordered
 
 
 def delay(frame: DataFrame, keys: Sequence[str], by: int) -> DataFrame:
@@ -34,14 +35,25 @@ def throttle(frame: DataFrame, keys: Sequence[str], interval: int) -> DataFrame:
     """The first value, then the first at least an interval after the last one let through.
 
     Whether a value passes depends on which one passed before it, so this is a
-    streaming pass in order; only step keys go to Python, values stay.
+    pass in order over Arrow batches. It jumps from one value let through to
+    the next by binary search in the times; values are filtered, never looked at.
     """
     i = duration(interval, 0)
     if i == 0:
         return frame
-
-    def step(state: Any, t: int, sub: int, v: Any) -> tuple[Any, bool, Any]:
-        return (t, True, True) if state is None or t >= state + i else (state, False, None)
-
-    passed = sequential(frame.select(*keys, *STEP, F.lit(True).alias("v")), keys, lambda: None, step, "boolean")
-    return frame.join(passed.select(*keys, *STEP), [*keys, *STEP], "left_semi").select(*keys, *STEP, "v")
+    n = len(keys)
+    rows = in_order(frame, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        due = None
+        for batch in batches:
+            t, keep = np.asarray(batch.column(n)), np.zeros(batch.num_rows, dtype=bool)
+            for a, b, new in key_runs(np.asarray(batch.column(n + 3))):
+                at = a if new or due is None else a + int(np.searchsorted(t[a:b], due))
+                while at < b:
+                    keep[at] = True
+                    due = int(t[at]) + i
+                    at += int(np.searchsorted(t[at:b], due))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[:-1], names=batch.schema.names[:-1])
+
+    return rows.mapInArrow(run, rows.drop("first").schema)

@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.times import duration
+from tidewheel.functions.times import duration, floored
+from tidewheel.operators.folds import sequential
 from tidewheel.plans.frames import ordered
 
 
@@ -24,7 +25,8 @@ def buffer(frame: DataFrame, keys: Sequence[str], n: int, ended_at: DataFrame |
     """
     if n < 1:
         raise ValueError("n must be positive")
-    grouped = frame.withColumn("__g", F.floor((F.row_number().over(ordered(keys)) - 1) / n))
+    nth = F.row_number().over(ordered(keys)) - 1
+    grouped = frame.withColumn("__g", nth - nth % n)
     out = grouped.groupBy(*keys, "__g").agg(F.max(F.struct("t", "sub")).alias("__at"), F.count(F.lit(1)).alias("__n"), _listed().alias("v"))
     if ended_at is None:
         ended = F.col("__at.t")
@@ -39,8 +41,8 @@ def buffer(frame: DataFrame, keys: Sequence[str], n: int, ended_at: DataFrame |
 def tumbling(frame: DataFrame, keys: Sequence[str], size: int, start: int = 0) -> DataFrame:
     """Values of [S + k size, S + (k + 1) size) at the window's end; empty windows are silent."""
     d = duration(size)
-    rows = frame.withColumn("__e", (F.floor((F.col("t") - start) / F.lit(d)) + 1) * d + start)
-    return rows.groupBy(*keys, "__e").agg(_listed().alias("v")).select(*keys, F.col("__e").cast("bigint").alias("t"), F.lit(0).alias("sub"), "v")
+    rows = frame.withColumn("__e", floored(F.col("t"), d, start) + d)
+    return rows.groupBy(*keys, "__e").agg(_listed().alias("v")).select(*keys, F.col("__e").alias("t"), F.lit(0).alias("sub"), "v")
 
 
 def sliding(frame: DataFrame, keys: Sequence[str], size: int, slide: int, start: int = 0) -> DataFrame:
@@ -52,44 +54,34 @@ def sliding(frame: DataFrame, keys: Sequence[str], size: int, slide: int, start:
     d, s = duration(size), duration(slide)
     if s >= d:
         return _sparse(frame, keys, d, s, start)
-    offset = F.col("t") - start
-    rows = frame.withColumn("__k", F.explode(F.sequence(F.expr(f"(t - {start}) div {s}"), F.expr(f"(t - {start} + {d - 1}) div {s}"))))
-    rows = rows.withColumn("__b", F.col("__k") * s + start).where((F.col("__b") > start) & (F.col("__b") < F.col("t") + d))
+    rows = frame.withColumn("__b", F.explode(F.sequence(floored(F.col("t"), s, start), floored(F.col("t") + (d - 1), s, start), F.lit(s).cast("bigint"))))
+    rows = rows.where((F.col("__b") > start) & (F.col("__b") < F.col("t") + d))
     rows = rows.where((F.col("__b") > F.col("t")) | ((F.col("__b") == F.col("t")) & (F.col("sub") == 0)))
     out = rows.groupBy(*keys, "__b").agg(_listed().alias("v"), F.min("t").alias("__first")).where("__first < __b")
-    del offset
-    return out.select(*keys, F.col("__b").cast("bigint").alias("t"), F.lit(0).alias("sub"), "v")
+    return out.select(*keys, F.col("__b").alias("t"), F.lit(0).alias("sub"), "v")
 
 
 def _sparse(frame: DataFrame, keys: Sequence[str], size: int, slide: int, start: int) -> DataFrame:
-    """A boundary is armed by the first value that comes while none is; what is held goes when it passes."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    kind = T.StructType([*[frame.schema[k] for k in keys], T.StructField("t", T.LongType()), T.StructField("sub", T.IntegerType()), T.StructField("v", T.ArrayType(frame.schema["v"].dataType))])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[Any, ...]] = []
-        held: list[tuple[int, Any]] = []
-        armed: int | None = None
-
-        def fire(at: int) -> None:
-            nonlocal held, armed
-            kept = [v for t, v in held if t > at - size]
-            if kept:
-                out.append((*key, at, 0, kept))
-            held, armed = [], None  # with slide >= size no value is in two windows
-
-        for t, sub, v in rows.sort_values(["t", "sub"])[["t", "sub", "v"]].itertuples(index=False, name=None):
-            while armed is not None and (armed < t or (armed == t and sub > 0)):
-                fire(armed)
-            held.append((t, v))
-            if armed == t:
-                fire(armed)
-            elif armed is None:
-                armed = start + ((t - start) // slide + 1) * slide
-        while armed is not None:
-            fire(armed)
-        return pd.DataFrame(out, columns=kind.names)
-
-    return frame.groupBy(*keys).applyInPandas(run if keys else lambda rows: run((), rows), kind)
+    """A boundary is armed by the first value that comes while none is; what is held goes when it passes.
+
+    A streaming pass over sorted partitions: memory holds the values of one window.
+    """
+    value = frame.schema["v"].dataType.simpleString()
+
+    def begin() -> tuple[list, int | None]:
+        return [], None
+
+    def fire(held: list, at: int) -> list[tuple[int, int, Any]]:
+        kept = [v for t, v in held if t > at - size]
+        return [(at, 0, kept)] if kept else []
+
+    def step(state: tuple, t: int, sub: int, v: Any) -> tuple[tuple, list[tuple[int, int, Any]]]:
+        (held, armed), out = state, []
+        if armed is not None and (armed < t or (armed == t and sub > 0)):
+            out, held, armed = fire(held, armed), [], None  # with slide >= size no value is in two windows
+        held = [*held, (t, v)]
+        if armed == t:
+            return ([], None), out + fire(held, t)
+        return (held, start + ((t - start) // slide + 1) * slide if armed is None else armed), out
+
+    return sequential(frame, keys, begin, step, f"array<{value}>", lambda state: fire(*state) if state[1] is not None else [])

@@ -25,8 +25,17 @@ def running(keys: Sequence[str]) -> WindowSpec:
 def numbered(df: DataFrame, keys: Sequence[str], t: Column, v: Column, order: Sequence[Column | str]) -> DataFrame:
     """Step rows of a table; rows of one key and instant are numbered in the given order."""
     rows = df.select(*keys, t.cast("bigint").alias("t"), v.alias("v"), *[F.col(c).alias(f"__o{i}") if isinstance(c, str) else c.alias(f"__o{i}") for i, c in enumerate(order)])
-    w = Window.partitionBy(*keys, "t").orderBy(*[f"__o{i}" for i in range(len(order))] or [F.lit(0)])
-    return rows.withColumn("sub", (F.row_number().over(w) - 1).cast("int")).select(*keys, *STEP, "v")
+    own = [f"__o{i}" for i in range(len(order))] or [F.lit(0)]
+    if not keys:  # spread by instant
+        nth = F.row_number().over(Window.partitionBy("t").orderBy(*own)) - 1
+    else:  # by key alone, so that operators over the same keys need no further shuffle
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("t", *own)) - F.rank().over(Window.partitionBy(*keys).orderBy("t"))
+    return rows.withColumn("sub", nth.cast("int")).select(*keys, *STEP, "v")
+
+
+def unique_steps(df: DataFrame, keys: Sequence[str], t: Column, v: Column) -> DataFrame:
+    """Step rows of a table whose (keys, t) are declared unique: nothing is numbered, so nothing is shuffled and filters reach the scan."""
+    return df.select(*keys, t.cast("bigint").alias("t"), F.lit(0).alias("sub"), v.alias("v"))
 
 
 def align(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
