@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewheel.plans.frames import STEP, ordered, running
+from tidewheel.plans.prefix import running_unkeyed
 
 
 def count(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if not keys:
+        return running_unkeyed(frame, "count")
     return frame.withColumn("v", F.count(F.lit(1)).over(running(keys)))
 
 
@@ -44,16 +47,24 @@ def sum_(frame: DataFrame, keys: Sequence[str], on_overflow: str = "fail") -> Da
     if isinstance(kind, T.ArrayType):
         return frame.withColumn("v", F.flatten(F.collect_list("v").over(w)))
     if _checked(on_overflow, kind):
-        return frame.withColumn("v", _wrapped(F.sum(F.col("v").cast("decimal(28,0)")).over(w)))
+        exact = frame.withColumn("v", F.col("v").cast("decimal(28,0)"))
+        exact = exact.withColumn("v", F.sum("v").over(w)) if keys else running_unkeyed(exact, "sum")
+        return exact.withColumn("v", _wrapped(F.col("v")))
+    if not keys and isinstance(kind, T.NumericType):
+        return running_unkeyed(frame, "sum")
     return frame.withColumn("v", F.sum("v").over(w))
 
 
 def mean(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if not keys:
+        return running_unkeyed(frame, "mean")
     return frame.withColumn("v", F.avg(F.col("v").cast("double")).over(running(keys)))
 
 
 def extreme(frame: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
     """reduce by max or min."""
+    if not keys:
+        return running_unkeyed(frame, kind)
     return frame.withColumn("v", {"max": F.max, "min": F.min}[kind]("v").over(running(keys)))
 
 

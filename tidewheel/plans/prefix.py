@@ -1,24 +1,52 @@
 """Running aggregates of an unkeyed stream without sorting it in one task.
 
-Time is cut into buckets. Each bucket is aggregated, the few bucket rows are
+The time from the first to the last step is cut into ``BUCKETS`` equal parts.
+Each bucket is aggregated, the bucket rows, ``BUCKETS`` at most, are
 accumulated in order, and every bucket then runs on its own from its carry.
+Whole numbers come out exactly; floating-point sums are added up by bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AGGREGATES = {"sum": (F.sum, lambda a, b: a + b), "count": (F.count, lambda a, b: a + b), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+from tidewheel.functions.times import floored
+
+BUCKETS = 4096
+
+#: By name: the partial aggregates of a bucket, each as (aggregate, how two of its values combine), and the result of them.
+AGGREGATES: dict[str, tuple[list[tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]], Callable[..., Column]]] = {
+    "sum": ([(F.sum, lambda a, b: a + b)], lambda s: s),
+    "count": ([(lambda v: F.count(F.lit(1)), lambda a, b: a + b)], lambda n: n),
+    "max": ([(F.max, F.greatest)], lambda m: m),
+    "min": ([(F.min, F.least)], lambda m: m),
+    "mean": ([(lambda v: F.sum(v.cast("double")), lambda a, b: a + b), (F.count, lambda a, b: a + b)], lambda s, n: s / F.when(n > 0, n)),
+}
 
 
-def running_unkeyed(frame: DataFrame, kind: str, bucket_nanos: int) -> DataFrame:
-    """(t, sub, v) with v the running sum, count, max or min of all rows up to this step."""
-    agg, combine = AGGREGATES[kind]
-    rows = frame.withColumn("__b", F.floor(F.col("t") / bucket_nanos)).withColumn("__v", F.lit(1) if kind == "count" else F.col("v"))
-    parts = rows.groupBy("__b").agg(agg("__v").alias("__part"))
+def running_unkeyed(frame: DataFrame, kind: str, bucket_nanos: int | None = None) -> DataFrame:
+    """(t, sub, v) with v the running aggregate of all rows up to this step. Buckets are sized by the data unless their length is given."""
+    parts, result = AGGREGATES[kind]
+    if bucket_nanos is None:
+        span = frame.agg(F.min("t").alias("low"), F.max("t").alias("high")).select(F.struct("low", (F.call_function("div", F.col("high") - F.col("low"), F.lit(BUCKETS).cast("bigint")) + 1).alias("size")))
+        rows = frame.withColumn("__span", span.scalar())
+        rows = rows.withColumn("__b", F.call_function("div", F.col("t") - F.col("__span.low"), F.col("__span.size"))).drop("__span")
+    else:
+        rows = frame.withColumn("__b", floored(F.col("t"), bucket_nanos))
+    names = [f"__p{i}" for i in range(len(parts))]
+    totals = rows.groupBy("__b").agg(*[agg(F.col("v")).alias(p) for p, (agg, _) in zip(names, parts, strict=True)])
     # One row for each bucket of time: few, whatever the number of events.
-    before = (F.sum if kind == "count" else agg)("__part").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    carried = rows.join(parts.select("__b", before.alias("__carry")), "__b")
-    own = agg("__v").over(Window.partitionBy("__b").orderBy("t", "sub").rowsBetween(Window.unboundedPreceding, 0))
-    return carried.select("t", "sub", F.when(F.col("__carry").isNull(), own).otherwise(combine(F.col("__carry"), own)).alias("v"))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    fold = {"max": F.max, "min": F.min}.get(kind, F.sum)
+    carries = totals.select("__b", *[fold(p).over(before).alias(p) for p in names])
+    carried = rows.join(F.broadcast(carries) if bucket_nanos is None else carries, "__b")
+    inside = Window.partitionBy("__b").orderBy("t", "sub").rowsBetween(Window.unboundedPreceding, 0)
+
+    def until(p: str, agg: Callable, two: Callable) -> Column:
+        own = agg(F.col("v")).over(inside)
+        return F.when(F.col(p).isNull(), own).when(own.isNull(), F.col(p)).otherwise(two(F.col(p), own))
+
+    return carried.select("t", "sub", result(*[until(p, agg, two) for p, (agg, two) in zip(names, parts, strict=True)]).alias("v"))

@@ -6,6 +6,7 @@ and day, which has ties, numbered by order key.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from tidewheel.functions.times import DAY, nanos
 from tidewheel.graph import Graph, Replay, Stop, Stream
 from tidewheel.operators.custom import Context
 from tidewheel.plans.prefix import running_unkeyed
+from tidewheel.sources import files
+from tidewheel.streaming import async_io, live
 
 START = 1_704_067_200 * 1_000_000_000  # 2024-01-01
 
@@ -27,7 +30,7 @@ _OW = "(PARTITION BY o_custkey ORDER BY t, sub)"
 def _events(spark: SparkSession, sf_dir: str) -> tuple[Graph, Callable[[str | None], Stream]]:
     g = Graph(spark, ["user_id"])
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return g, lambda kind=None: g.replay(table if kind is None else table.where(F.col("event_type") == kind), nanos(F.col("ts")), F.col("value"), ["event_id"])
+    return g, lambda kind=None: g.replay(table if kind is None else table.where(F.col("event_type") == kind), nanos(F.col("ts")), F.col("value"), unique=True)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> tuple[Graph, Stream]:
@@ -160,6 +163,175 @@ def operator_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.run().frame(source)
 
 
+class Limit:
+    """Fails its run at a value above the limit."""
+
+    def __init__(self, most: float) -> None:
+        self.most = most
+
+    def step(self, ctx: Context) -> None:
+        if ctx.value(0) > self.most:
+            ctx.fail("over the limit")
+        ctx.emit(ctx.value(0))
+
+
+class Tally:
+    """Counts the first input's values, and those at which the second had a value; both go out with the final call."""
+
+    def __init__(self) -> None:
+        self.n = self.beside = 0
+
+    def step(self, ctx: Context) -> None:
+        if ctx.is_final:
+            ctx.emit(1000 * self.n + self.beside)
+        else:
+            self.n += 1
+            self.beside += ctx.has(1)
+
+
+def operator_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, source = _orders(spark, sf_dir)
+    g.operator([(source, "on")], lambda: Limit(400_000.0), "double")
+    return g.run(on_error="prefix").frame(source)
+
+
+def operator_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator that runs on purchases, watches views and speaks at the end of each user's run."""
+    g, source = _events(spark, sf_dir)
+    tally = g.operator([(source("purchase"), "on"), (source("view"), "watch")], Tally, "bigint", finalize=True)
+    return g.run().frame(tally)
+
+
+def from_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark)
+    return g.run().frame(g.replay_from_iter([(10 * (i // 2), i) for i in range(1000)], "bigint").delta())
+
+
+def record_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's steps, recorded as Parquet and replayed with the steps they had."""
+    g, source = _orders(spark, sf_dir)
+    path = files.shared_folder(spark, "recording")
+    files.save_parquet(g.run().frame(source.count()), path)
+    h = Graph(spark, ["o_custkey"])
+    return h.run().frame(h.replay_from_log(spark.read.parquet(path)).map(lambda v: v * 10))
+
+
+def record_replay_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unkeyed run's steps as JSON lines and back."""
+    g = Graph(spark)
+    s = g.replay(spark.read.parquet(f"{sf_dir}/orders.parquet"), nanos(F.col("o_orderdate")), F.col("o_orderkey"), ["o_orderkey"])
+    path = files.shared_folder(spark, "log")
+    files.save_json(g.run().frame(s), path)
+    h = Graph(spark)
+    return h.run().frame(h.replay(files.load_json(spark, path, "bigint"), "t", "v", ["line"]))
+
+
+def csv_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.shared_folder(spark, "csv")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(nanos(F.col("ts")).alias("time"), F.col("event_id").alias("value"))
+    rows.coalesce(1).sortWithinPartitions("time").write.csv(path, header=True)  # a CSV replay reads one file in its order
+    g = Graph(spark)
+    return g.run().frame(g.replay_from_csv(path, "time bigint, value bigint", "time", "value").max())
+
+
+def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two sinks of one run were called with; the table is small by nature."""
+    g, got = Graph(spark), []
+    s = g.replay(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_regionkey") * 10, F.col("n_nationkey").cast("bigint"), ["n_nationkey"])
+    s.sink(lambda v, t: got.append(("all", t, v)))
+    s.filter(lambda v: v % 2 == 0).try_sink(lambda v, t: got.append(("even", t, v)))
+    g.run().drive()
+    return spark.createDataFrame(got, "sink string, t bigint, v bigint")
+
+
+def manual_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, got = Graph(spark), []
+    s = g.replay(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_regionkey") * 10, F.col("n_nationkey").cast("bigint"), ["n_nationkey"])
+    total = s.sum()
+    walk = g.run().walk(total)
+    while walk.step():
+        got.append((walk.now, walk.peek(total)))
+    steps = walk.end().steps
+    return spark.createDataFrame([(t, v, steps) for t, v in got], "t bigint, v bigint, steps bigint")
+
+
+def source_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark)
+    return g.run(Replay.from_(START, Stop.at(START + 9 * DAY))).frame(g.source_worker(lambda c: c.ticker(2 * DAY).count()).collapse())
+
+
+HOUR = DAY // 24
+
+
+def tumbling_nanos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps one nanosecond before, at and after each hour."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.call_function("div", F.col("event_id"), F.lit(3).cast("bigint")) * HOUR + (F.col("event_id") % 3 - 1) + START
+    g = Graph(spark)
+    s = g.replay(table, at, F.col("event_id"), unique=True)
+    out = g.run(Replay.from_(START - HOUR)).frame(s.window_tumbling(HOUR))
+    return out.select("t", "sub", F.size("v").cast("bigint").alias("n"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))
+
+
+def _unkeyed(f: Callable[[Stream], Stream]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = Graph(spark)
+        cents = F.round(F.col("o_totalprice") * 100, 0).cast("bigint")
+        return g.run().frame(f(g.replay(spark.read.parquet(f"{sf_dir}/orders.parquet"), nanos(F.col("o_orderdate")), cents, ["o_orderkey"])))
+
+    return query
+
+
+def steps_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four steps of each customer's run, timers of a delay among them."""
+    g, source = _orders(spark, sf_dir)
+    source.delay(10 * DAY)
+    return g.run(Replay.from_(0, Stop.steps(4))).frame(source)
+
+
+def _live(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A live operator over the events as a stream that ends, in micro-batches; what it wrote is the result."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, schema = f"{sf_dir}/events.parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        rows = spark.readStream.schema(schema).parquet(path[:-1] + "[t]").select("user_id", nanos(F.col("ts")).alias("t"), F.lit(0).alias("sub"), F.col("value").alias("v"))
+        out = f(rows)
+        to = files.shared_folder(spark, "live")
+        out.writeStream.format("parquet").option("checkpointLocation", to + "-state").trigger(availableNow=True).start(to).awaitTermination()
+        return spark.read.schema(out.schema).parquet(to)
+
+    return query
+
+
+def produced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an asynchronous producer sent, read as a stream of bursts."""
+    folder = files.shared_folder(spark, "bursts")
+
+    async def items():
+        for i in range(200):
+            yield i
+
+    sender, stream = async_io.produce_async(spark, folder, "bigint", items, async_io.Config(capacity=64, timeout=120.0))
+    sender.join()
+    to = files.shared_folder(spark, "produced")
+    stream.select(F.explode("v").alias("v")).writeStream.format("parquet").option("checkpointLocation", to + "-state").trigger(availableNow=True).start(to).awaitTermination()
+    return spark.read.schema("v bigint").parquet(to)
+
+
+def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an asynchronous consumer took, in the order of steps."""
+    got: list[tuple[int, int]] = []
+
+    async def take(values):
+        async for t, v in values:
+            got.append((t, v))
+
+    g = Graph(spark)
+    s = g.replay(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_regionkey") * 10, F.col("n_nationkey").cast("bigint"), ["n_nationkey"])
+    async_io.consume_async(g.run().frame(s), take, config=async_io.Config(capacity=4, timeout=60.0))
+    return spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(got)], "i bigint, t bigint, v bigint")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": flagship,
     "just": just,
@@ -205,6 +377,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "operator_stop": operator_stop,
     "prefix_on_error": prefix_on_error,
     "failures": failures,
+    "operator_fail": operator_fail,
+    "operator_final": operator_final,
+    "replay_from_iter": from_iter,
+    "record_replay": record_replay,
+    "record_replay_json": record_replay_json,
+    "csv_replay": csv_replay,
+    "sinks": sinks,
+    "manual_steps": manual_steps,
+    "source_worker": source_worker,
+    "window_tumbling_ns": tumbling_nanos,
+    "window_sliding_sparse": _on_events(lambda g, s: s.window_sliding(DAY // 2, DAY), Replay.from_(START), _batch),
+    "stop_at": _on_events(lambda g, s: s.count(), Replay.from_(START, Stop.at(START + 5 * DAY))),
+    "stop_steps_keyed": steps_keyed,
+    "min": _on_orders(lambda g, s: s.min()),
+    "sum_wrap": _on_orders(lambda g, s: s.map(lambda v: F.round(v * 100, 0).cast("bigint") + 2**62).sum("wrap")),
+    "custom": _on_orders(lambda g, s: s.custom(lambda: 0, lambda n, t, sub, v: (n + 1, n % 3 == 2, n + 1), "bigint")),
+    "scan_algebraic": _on_orders(lambda g, s: s.map(lambda v: F.round(v * 100, 0).cast("bigint")).scan(7, operator.add, "bigint")),
+    "sum_unkeyed": _unkeyed(lambda s: s.sum()),
+    "count_unkeyed": _unkeyed(lambda s: s.count()),
+    "min_unkeyed": _unkeyed(lambda s: s.min()),
+    "max_unkeyed": _unkeyed(lambda s: s.max()),
+    "mean_unkeyed": _unkeyed(lambda s: s.map(lambda v: F.floor(v / 100)).mean()),
+    "live_count": _live(lambda rows: live.count(rows, ["user_id"])),
+    "live_throttle": _live(lambda rows: live.throttle(rows, ["user_id"], DAY)),
+    "live_debounce": _live(lambda rows: live.debounce(rows, ["user_id"], DAY // 4)),
+    "live_window_tumbling": _live(lambda rows: _batch(live.window_tumbling(rows, ["user_id"], DAY, START))),
+    "producer": produced,
+    "consumer": consumed,
     "run_summary": run_summary,
     "running_sum_unkeyed": running_sum_unkeyed,
 }
@@ -263,5 +463,36 @@ _BAD = f"WITH {_O}, bad AS (SELECT o_custkey, min((t, sub)) AS bad FROM o WHERE
 ORACLES["prefix_on_error"] = f"{_BAD} SELECT o_custkey, t, sub, v * 2 AS v FROM o LEFT JOIN bad USING (o_custkey) WHERE bad.bad IS NULL OR (t, sub) < bad.bad"
 ORACLES["failures"] = f"{_BAD} SELECT o_custkey, t, sub, 'too much' AS note FROM o JOIN bad USING (o_custkey) WHERE (t, sub) = bad.bad"
 ORACLES["operator_stop"] = f"WITH {_O} SELECT o_custkey, t, sub, v FROM (SELECT *, coalesce(sum(v) OVER (PARTITION BY o_custkey ORDER BY t, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o) WHERE before <= 1000000"
+ORACLES["operator_fail"] = _BAD.replace("350000", "400000") + " SELECT o_custkey, t, sub, v FROM o LEFT JOIN bad USING (o_custkey) WHERE bad.bad IS NULL OR (t, sub) <= bad.bad"
+ORACLES["operator_final"] = f"""WITH {_E}, {_PV}, f AS (SELECT user_id, min(t) AS seen FROM b GROUP BY 1),
+n AS (SELECT a.user_id, max(a.t) AS last, count(*) AS n, count(*) FILTER (WHERE f.seen <= a.t) AS beside FROM a LEFT JOIN f USING (user_id) GROUP BY 1),
+u AS (SELECT user_id, max(t) AS t FROM (SELECT user_id, t FROM a UNION ALL SELECT user_id, t FROM b) GROUP BY 1)
+SELECT user_id, t, CASE WHEN last = t THEN 1 ELSE 0 END AS sub, coalesce(1000 * n + beside, 0) AS v FROM u LEFT JOIN n USING (user_id)"""
+ORACLES["replay_from_iter"] = "SELECT 10 * (i // 2) AS t, (i % 2)::INTEGER AS sub, 1 AS v FROM range(1, 1000) x(i)"
+ORACLES["record_replay"] = f"WITH {_O} SELECT o_custkey, t, sub, 10 * row_number() OVER {_OW} AS v FROM o"
+_U = "o AS (SELECT epoch_us(o_orderdate) * 1000 AS t, (row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) - 1)::INTEGER AS sub, o_orderkey, round(o_totalprice * 100)::BIGINT AS v FROM orders)"
+ORACLES["record_replay_json"] = f"WITH {_U} SELECT t, sub, o_orderkey AS v FROM o"
+ORACLES["csv_replay"] = f"WITH {_E} SELECT t, sub, max(event_id) OVER (ORDER BY t) AS v FROM e"
+_N = "n AS (SELECT n_regionkey * 10::BIGINT AS t, n_nationkey::BIGINT AS v FROM nation)"
+ORACLES["sinks"] = f"WITH {_N} SELECT 'all' AS sink, t, v FROM n UNION ALL SELECT 'even', t, v FROM n WHERE v % 2 = 0"
+ORACLES["manual_steps"] = f"WITH {_N} SELECT t, (sum(v) OVER (ORDER BY t, v))::BIGINT AS v, count(*) OVER () AS steps FROM n"
+ORACLES["consumer"] = f"WITH {_N} SELECT row_number() OVER (ORDER BY t, v) - 1 AS i, t, v FROM n"
+ORACLES["producer"] = "SELECT i AS v FROM range(0, 200) x(i)"
+ORACLES["source_worker"] = f"SELECT {START} + i * 2 * {_DAY} AS t, 0 AS sub, i + 1 AS v FROM range(0, 5) x(i)"
+ORACLES["window_tumbling_ns"] = f"WITH w AS (SELECT event_id AS v, {START} + (event_id // 3) * {HOUR} + event_id % 3 - 1 AS t FROM events) SELECT ((t - {START} + {HOUR}) // {HOUR}) * {HOUR} + {START} AS t, 0 AS sub, count(*) AS n, first(v ORDER BY w.t) AS first, last(v ORDER BY w.t) AS last FROM w GROUP BY 1"
+ORACLES["window_sliding_sparse"] = f"WITH {_E}, {_TUMBLE} SELECT user_id, e AS t, 0 AS sub, {_BATCH.format(o='t')} FROM w WHERE t > e - {DAY // 2} GROUP BY user_id, e"
+ORACLES["stop_at"] = f"WITH {_E} SELECT user_id, t, sub, row_number() OVER {_W} AS v FROM e WHERE t <= {START + 5 * DAY}"
+ORACLES["stop_steps_keyed"] = f"WITH {_O}, s AS (SELECT o_custkey, t, sub FROM o UNION SELECT o_custkey, t + 10 * {_DAY}, 0 FROM o), r AS (SELECT *, row_number() OVER {_OW} AS r FROM s) SELECT o_custkey, t, sub, v FROM o JOIN r USING (o_custkey, t, sub) WHERE r <= 4"
+ORACLES["min"] = f"WITH {_O} SELECT o_custkey, t, sub, min(v) OVER {_OW} AS v FROM o"
+ORACLES["sum_wrap"] = f"WITH {_O}, s AS (SELECT o_custkey, t, sub, sum(round(v * 100)::HUGEINT + 4611686018427387904) OVER {_OW} AS s FROM o) SELECT o_custkey, t, sub, ((s + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)::BIGINT AS v FROM s"
+ORACLES["custom"] = f"WITH {_O} SELECT o_custkey, t, sub, r AS v FROM (SELECT *, row_number() OVER {_OW} AS r FROM o) WHERE r % 3 = 0"
+ORACLES["scan_algebraic"] = f"WITH {_O} SELECT o_custkey, t, sub, (7 + sum(round(v * 100)::BIGINT) OVER {_OW})::BIGINT AS v FROM o"
+for _name, _agg in {"sum": "(sum(v) OVER w)::BIGINT", "count": "count(*) OVER w", "min": "min(v) OVER w", "max": "max(v) OVER w", "mean": "avg(v // 100) OVER w"}.items():
+    ORACLES[f"{_name}_unkeyed"] = f"WITH {_U} SELECT t, sub, {_agg} AS v FROM o WINDOW w AS (ORDER BY t, sub)"
+# Live operators keep what no newer row has settled.
+ORACLES["live_count"] = f"WITH {_E} SELECT user_id, t, sub, row_number() OVER {_W} AS v FROM e"
+ORACLES["live_throttle"] = ORACLES["throttle"]
+ORACLES["live_debounce"] = f"WITH {_E} SELECT user_id, t + {DAY // 4} AS t, 0 AS sub, v FROM (SELECT *, lead(t) OVER {_W} AS n FROM e) WHERE n - t > {DAY // 4}"
+ORACLES["live_window_tumbling"] = f"WITH {_E}, {_TUMBLE}, z AS (SELECT user_id, max(t) AS z FROM e GROUP BY 1) SELECT user_id, e AS t, 0 AS sub, {_BATCH.format(o='t')} FROM w JOIN z USING (user_id) WHERE e <= z GROUP BY user_id, e"
 ORACLES["reduce_general"] = ORACLES["reduce"]
 ORACLES["scan"] = ORACLES["sum"]

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors reach, below ``spark.checkpoint.dir``; without one only in local runs."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(own or '/tmp/checkpoints').rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, on_error: str = "fail") -> DataFrame:
     """Rows of a CSV file with a header, and ``line``, their order in the file; a malformed row fails the run.
 

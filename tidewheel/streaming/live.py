@@ -36,18 +36,19 @@ def stateful_many(frame: DataFrame, keys: list[str], start: Callable[[], Any], s
     timed = flush is not None and idle_ms is not None
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, last, held = state.get if state.exists else (-1, -1, None)
+        at, last, held = state.get if state.exists else (None, None, None)
         value = start() if held is None else pickle.loads(held)
         out = []
         if state.hasTimedOut:
             value, emitted = flush(value)
             out += [(*key, *e) for e in emitted]
             if emitted:
-                at, last = max((at, last), (emitted[-1][0], -1))
+                gone = (emitted[-1][0], -1)
+                at, last = gone if at is None else max((at, last), gone)
         else:
             rows = pd.concat(batches).sort_values(["t", "sub"])
             for t, sub, v in rows[["t", "sub", "v"]].itertuples(index=False, name=None):
-                if (t, sub) <= (at, last):
+                if at is not None and (t, sub) <= (at, last):
                     if late == "fail":
                         raise StreamError("live", f"a row at {t} is behind the stream at {at}")
                     continue
