@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
-from tidewheel.errors import ChannelError, GraphMismatch, StreamError
+from tidewheel.errors import ChannelError, GraphMismatch, LiveOnly, StreamError
 from tidewheel.functions.times import duration, floored
 from tidewheel.operators import combine, custom, folds, stateless, timed, windows
 from tidewheel.plans.frames import STEP, align, numbered, ordered, unique_steps
@@ -58,6 +59,14 @@ class Replay:
         return cls(start, stop)
 
 
+@dataclass(frozen=True)
+class Live:
+    """A live run. start aligns time windows; idle_ms: after so long without rows a key lets go of what it holds."""
+
+    start: int = 0
+    idle_ms: int | None = None
+
+
 @dataclass(frozen=True)
 class Summary:
     steps: int
@@ -121,6 +130,10 @@ class Run:
         halted = self.halted()
         return self.graph.spark.createDataFrame([], "t bigint, sub int, node int, note string") if halted is None else halted.where("note is not null")
 
+    def form(self, f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        """The function that this kind of run uses for an operator."""
+        return f
+
     def frame(self, stream: Stream) -> DataFrame:
         if stream.graph is not self.graph:
             raise GraphMismatch("the stream belongs to another graph")
@@ -206,6 +219,41 @@ class Run:
         return self.steps().groupBy(*self.graph.keys).agg(*got) if self.graph.keys else self.steps().agg(*got)
 
 
+class LiveRun(Run):
+    """A run over streams as they come. Frames are streaming; what a stream emits goes where ``start`` is told.
+
+    Spark allows one operator with a state in a streaming query, with any
+    stateless ones around it. For a chain of several, write the first one's
+    stream to a folder and take that as the source of the next graph.
+    """
+
+    def __init__(self, graph: Graph, spec: Live) -> None:
+        super().__init__(graph, Replay(spec.start))
+        self.live = spec
+
+    def form(self, f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        from tidewheel.streaming.live_ops import FORMS
+
+        return partial(FORMS[f], idle_ms=self.live.idle_ms) if f in FORMS else f
+
+    def cut(self, frame: DataFrame) -> DataFrame:
+        if not frame.isStreaming:
+            raise LiveOnly("a replay source can't be part of a live run")
+        return frame
+
+    def halted(self) -> DataFrame | None:
+        return None
+
+    def ended(self) -> DataFrame | None:
+        return None
+
+    def start(self, stream: Stream, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+        """Calls sink(rows, number) with each micro-batch of the stream; once: ends when what is there has been read."""
+        from tidewheel.streaming import live
+
+        return live.sink(self.frame(stream), sink, checkpoint, once)
+
+
 class Steps:
     """A run taken step by step: ``step`` moves to the next one and says whether there was one."""
 
@@ -291,6 +339,19 @@ class Graph:
 
         return self._add(build, build)
 
+    def live(self, df: DataFrame, t: Column | str = "t", v: Column | str = "v", sub: Column | str | None = None) -> Stream:
+        """A streaming frame's rows as steps, for live runs; rows of a key must come in the order of their steps."""
+        if not df.isStreaming:
+            raise LiveOnly("a live source needs a streaming frame")
+        column = lambda c: F.col(c) if isinstance(c, str) else c
+
+        def build(run: Run) -> DataFrame:
+            if not isinstance(run, LiveRun):
+                raise LiveOnly("a live source can't be part of a replay")
+            return df.select(*self.keys, column(t).cast("bigint").alias("t"), (F.lit(0) if sub is None else column(sub).cast("int")).alias("sub"), column(v).alias("v"))
+
+        return self._add(build, build)
+
     def replay_from_iter(self, items: Iterable[tuple[int, Any]], kind: str, on_error: str = "fail") -> Stream:
         """(time, value) pairs in order; an item behind its predecessor fails the run.
 
@@ -385,13 +446,15 @@ class Graph:
 
         return self._add(sure).bursts()
 
-    def run(self, spec: Replay | None = None, on_error: str = "fail") -> Run:
+    def run(self, spec: Replay | Live | None = None, on_error: str = "fail") -> Run:
         """on_error: ``fail`` ends the job; ``prefix`` keeps what comes before the first failing step, see ``Run.failures``."""
         if on_error not in ("fail", "prefix"):
             raise ValueError("on_error must be fail or prefix")
         if self.running:
             raise RuntimeError("the graph is running")
         spec = spec or Replay()
+        if isinstance(spec, Live):
+            return LiveRun(self, spec)
         if spec.stop.kind == "steps":
             steps = Run(self, Replay(spec.start), on_error=on_error).steps()
             last = F.max(F.struct(*STEP)).alias("s")
@@ -415,7 +478,7 @@ class Graph:
             raise ValueError("at least one stream is needed")
         if any(s.graph is not self for s in streams):
             raise GraphMismatch("streams of different graphs")
-        return self._add(lambda run: f([run.frame(s) for s in streams], self.keys))
+        return self._add(lambda run: run.form(f)([run.frame(s) for s in streams], self.keys))
 
 
 class Stream:
@@ -425,7 +488,7 @@ class Stream:
         self.graph, self.id, self.build, self.timers, self.halts, self.may_stop = graph, number, build, timers, halts, may_stop
 
     def _then(self, f: Callable[..., DataFrame], *args: Any, timers: Callable[[Run], DataFrame] | None = None) -> Stream:
-        return self.graph._add(lambda run: f(run.frame(self), *args), timers)
+        return self.graph._add(lambda run: run.form(f)(run.frame(self), *args), timers)
 
     def _keyed(self, f: Callable[..., DataFrame], *args: Any) -> Stream:
         return self._then(f, self.graph.keys, *args)
@@ -433,7 +496,7 @@ class Stream:
     def _with(self, other: Stream, f: Callable[..., DataFrame], *args: Any) -> Stream:
         if other.graph is not self.graph:
             raise GraphMismatch("streams of different graphs")
-        return self.graph._add(lambda run: f(run.frame(self), run.frame(other), self.graph.keys, *args))
+        return self.graph._add(lambda run: run.form(f)(run.frame(self), run.frame(other), self.graph.keys, *args))
 
     def map(self, f: stateless.Expr) -> Stream:
         return self._then(stateless.map_, f)
@@ -532,18 +595,18 @@ class Stream:
     def buffer(self, n: int) -> Stream:
         """The remainder is stamped with the clock of the last step of the whole graph."""
         self.graph.has_final = True
-        return self.graph._add(lambda run: windows.buffer(run.frame(self), self.graph.keys, n, run.ended()))
+        return self.graph._add(lambda run: run.form(windows.buffer)(run.frame(self), self.graph.keys, n, run.ended()))
 
     def window_tumbling(self, size: int) -> Stream:
         d = duration(size)
         due = lambda run: run.frame(self).select(*self.graph.keys, (floored(F.col("t"), d, run.start) + d).alias("t"), F.lit(0).alias("sub"))
-        return self.graph._add(lambda run: windows.tumbling(run.frame(self), self.graph.keys, d, run.start), due)
+        return self.graph._add(lambda run: run.form(windows.tumbling)(run.frame(self), self.graph.keys, d, run.start), due)
 
     def window_sliding(self, size: int, slide: int) -> Stream:
         d, s = duration(size), duration(slide)
         # Armed from a value on until the boundary at which nothing is left of it.
         due = lambda run: run.frame(self).select(*self.graph.keys, F.explode(F.sequence(floored(F.col("t"), s, run.start) + s, floored(F.col("t") + (d - 1), s, run.start) + s, F.lit(s).cast("bigint"))).alias("t"), F.lit(0).alias("sub"))
-        return self.graph._add(lambda run: windows.sliding(run.frame(self), self.graph.keys, d, s, run.start), due)
+        return self.graph._add(lambda run: run.form(windows.sliding)(run.frame(self), self.graph.keys, d, s, run.start), due)
 
     def with_(self, other: Stream, f: combine.Two) -> Stream:
         return self._with(other, combine.with_, f)

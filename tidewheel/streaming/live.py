@@ -28,7 +28,9 @@ def stateful_many(frame: DataFrame, keys: list[str], start: Callable[[], Any], s
     """An operator over a streaming frame (keys..., t, sub, v) whose steps emit any number of (t, sub, value); the state is kept between batches.
 
     A row behind the last one of its key fails the query, or is dropped with
-    ``late="drop"``. Where ``idle_ms`` is given, a key without rows for that
+    ``late="drop"``; with ``late="inputs"`` several inputs share the rows, sub
+    tells them apart by its remainder, and each is in order for itself, which
+    the step sees to. Where ``idle_ms`` is given, a key without rows for that
     long has ``flush`` called; rows from before what that emits are late then.
     """
     schema = T.StructType([*[frame.schema[k] for k in keys], T.StructField("t", T.LongType()), T.StructField("sub", T.IntegerType()), T.StructField("v", T._parse_datatype_string(kind))])
@@ -48,7 +50,7 @@ def stateful_many(frame: DataFrame, keys: list[str], start: Callable[[], Any], s
         else:
             rows = pd.concat(batches).sort_values(["t", "sub"])
             for t, sub, v in rows[["t", "sub", "v"]].itertuples(index=False, name=None):
-                if at is not None and (t, sub) <= (at, last):
+                if late != "inputs" and at is not None and (t, sub) <= (at, last):
                     if late == "fail":
                         raise StreamError("live", f"a row at {t} is behind the stream at {at}")
                     continue
