@@ -9,8 +9,9 @@ are taken. So a document is taken as often as the blocks go over it, partly at
 the end, and at most ``max_repeat`` times.
 
 A shard has about ``SHARD_WORDS`` words, a source at most ``MAX_SHARDS`` of
-them, so no source, however large, is sorted in one task. Only sums for
-sources and shards come to the driver.
+them, so no source, however large, is sorted in one task. Only one sum for
+each source comes to the driver; each source's blocks are dealt to its shards
+in a task that holds one number for each of them.
 
 Defined cases: a null source is a source of its own and stands last; null or
 empty text has size 0 and nothing taken; an empty table gives an empty result;
@@ -24,6 +25,7 @@ import heapq
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,18 @@ def word_count(text_col: str) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, common.BLANKS))).cast("bigint")
 
 
+def _quotas(block_words: int, max_repeat: int):
+    def quotas(rows: pa.Table) -> pa.Table:
+        """How often the shards of one source are gone over whole, and the words of the last, partial round."""
+        rows = rows.sort_by("__shard")
+        words = rows.column("words").to_numpy()
+        blocks = np.array(sainte_lague(words.tolist(), rows.column("__blocks")[0].as_py()), dtype=np.int64)
+        take = np.minimum(blocks * block_words, max_repeat * words)
+        return pa.table({"__place": rows.column("__place"), "__shard": rows.column("__shard"), "__passes": take // words, "__rest": take % words})
+
+    return quotas
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = 3, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: Sequence[str] = ()) -> DataFrame:
     """(id, the kept columns, size, source_size, target, taken) of every row. Weights repeat over the sources in code point order, null last.
 
@@ -88,7 +102,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = 3
     source = F.col(source_col).cast("string")
     own = [F.col(id_col).alias("__id"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"), word_count(text_col).alias("__size"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash")]
     rows = docs.select(*own, *keep)
-    with common.storage(spark):
+    with common.storage(spark, "mix-quotas"):
         sized = common.materialize(docs.select(*own), "mix-sizes")
         sources = sorted((r["__none"], r["__source"], int(r.words)) for r in sized.groupBy("__none", "__source").agg(F.sum("__size").alias("words")).collect())
         sizes = [s[2] for s in sources]
@@ -97,27 +111,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = 3
         shards = [max(1, min(MAX_SHARDS, -(-n // shard_words))) for n in sizes]
         table = common.local_table(
             spark, __none=("boolean", [s[0] for s in sources]), __source=("string", [s[1] for s in sources]), __place=("int", list(range(len(sources)))),
-            source_size=("bigint", sizes), target=("double", aims), __shards=("int", shards),
+            source_size=("bigint", sizes), target=("double", aims), __shards=("int", shards), __blocks=("bigint", blocks),
         )
         spread = F.broadcast if len(sources) <= BROADCAST_ROWS else lambda df: df
 
         def placed(df: DataFrame) -> DataFrame:
             return df.join(spread(table), ["__none", "__source"]).withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed), "__id", "__size", "__hash"), F.col("__shards")).cast("int"))
 
-        words = {(r["__place"], r["__shard"]): int(r.words) for r in placed(sized).groupBy("__place", "__shard").agg(F.sum("__size").alias("words")).collect()}
-    quotas = []
-    for i, n_blocks in enumerate(blocks):
-        held = [(s, words[i, s]) for s in range(shards[i]) if words.get((i, s))]
-        for (s, n), quota in zip(held, sainte_lague([n for _, n in held], n_blocks), strict=True):
-            take = min(quota * block_words, max_repeat * n)
-            quotas.append((i, s, take // n, take % n))
-    dealt = common.local_table(spark, **{name: (kind, [q[i] for q in quotas]) for i, (name, kind) in enumerate([("__place", "int"), ("__shard", "int"), ("__passes", "bigint"), ("__rest", "bigint")])})
+        held = placed(sized).groupBy("__place", "__shard", "__blocks").agg(F.sum("__size").alias("words")).where("words > 0")
+        dealt = held.groupBy("__place").applyInArrow(_quotas(block_words, max_repeat), common.schema(__place="int", __shard="int", __passes="bigint", __rest="bigint"))
+        dealt = common.few(common.materialize(dealt, "mix-quotas"), BROADCAST_ROWS)
 
     # The order is total but for rows that are alike in every column.
     hashable = [c for c in keep if "map<" not in rows.schema[c].dataType.simpleString() and "variant" not in rows.schema[c].dataType.simpleString()]
     order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__id").cast("string"), F.lit("null")))), F.col("__id"), F.col("__size"), F.col("__hash"), F.xxhash64(*hashable) if hashable else F.lit(0)]
     w = Window.partitionBy("__place", "__shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed(rows).withColumn("__end", F.sum("__size").over(w)).join(F.broadcast(dealt) if len(quotas) <= BROADCAST_ROWS else dealt, ["__place", "__shard"], "left")
+    out = placed(rows).withColumn("__end", F.sum("__size").over(w)).join(dealt, ["__place", "__shard"], "left")
     part = F.greatest(F.lit(0), F.least("__end", "__rest") - (F.col("__end") - F.col("__size")))
     taken = F.coalesce(F.col("__passes") * F.col("__size") + part, F.lit(0)).cast("bigint")
     return out.select(F.col("__id").alias(id_col), *keep, F.col("__size").alias("size"), "source_size", "target", taken.alias("taken"))
