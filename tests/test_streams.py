@@ -234,3 +234,13 @@ def test_queries_equal_their_sql(spark, name):
     text = [c for c in columns if ours[c].dtype == object or str(ours[c].dtype) in ("str", "string")]
     assert ours[text].astype(str).equals(theirs[text].astype(str))
     assert ours.drop(columns=text).astype(float).equals(theirs.drop(columns=text).astype(float))
+
+
+@pytest.mark.parametrize("name", ["csv_replay"])
+def test_unkeyed_queries_equal_their_sql_where_times_are_equal(spark, tmp_path, name):
+    """Events of three users at each of 200 instants, with larger ids and other values in no order of time."""
+    con = duckdb.connect()
+    con.execute(f"copy (select (event_id * 7919 + k * 331) % 1000003 as event_id, ts, user_id + k * 1500 as user_id, event_type, value * (k + 1) - 90 as value, props from '{SF}/events.parquet', range(3) r(k) where event_id < 200) to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    ours, theirs = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()], con.execute(queries.ORACLES[name]).fetchall()
+    assert len(ours) == 600 and sorted(ours) == sorted(theirs)

@@ -27,8 +27,12 @@ AGGREGATES: dict[str, tuple[list[tuple[Callable[[Column], Column], Callable[[Col
 }
 
 
-def running_unkeyed(frame: DataFrame, kind: str, bucket_nanos: int | None = None) -> DataFrame:
-    """(t, sub, v) with v the running aggregate of all rows up to this step. Buckets are sized by the data unless their length is given."""
+def running_unkeyed(frame: DataFrame, kind: str, bucket_nanos: int | None = None, by_instant: bool = False) -> DataFrame:
+    """(t, sub, v) with v the running aggregate of all rows up to this step. Buckets are sized by the data unless their length is given.
+
+    by_instant: the steps of one instant count as one, as for SQL's default
+    frame; each of its rows has the value after the last of them, and sub 0.
+    """
     parts, result = AGGREGATES[kind]
     if bucket_nanos is None:
         span = frame.agg(F.min("t").alias("low"), F.max("t").alias("high")).select(F.struct("low", (F.call_function("div", F.col("high") - F.col("low"), F.lit(BUCKETS).cast("bigint")) + 1).alias("size")))
@@ -43,10 +47,12 @@ def running_unkeyed(frame: DataFrame, kind: str, bucket_nanos: int | None = None
     fold = {"max": F.max, "min": F.min}.get(kind, F.sum)
     carries = totals.select("__b", *[fold(p).over(before).alias(p) for p in names])
     carried = rows.join(F.broadcast(carries) if bucket_nanos is None else carries, "__b")
-    inside = Window.partitionBy("__b").orderBy("t", "sub").rowsBetween(Window.unboundedPreceding, 0)
+    bucket = Window.partitionBy("__b")
+    inside = bucket.orderBy("t").rangeBetween(Window.unboundedPreceding, 0) if by_instant else bucket.orderBy("t", "sub").rowsBetween(Window.unboundedPreceding, 0)
 
     def until(p: str, agg: Callable, two: Callable) -> Column:
         own = agg(F.col("v")).over(inside)
         return F.when(F.col(p).isNull(), own).when(own.isNull(), F.col(p)).otherwise(two(F.col(p), own))
 
-    return carried.select("t", "sub", result(*[until(p, agg, two) for p, (agg, two) in zip(names, parts, strict=True)]).alias("v"))
+    sub = F.lit(0).alias("sub") if by_instant else F.col("sub")
+    return carried.select("t", sub, result(*[until(p, agg, two) for p, (agg, two) in zip(names, parts, strict=True)]).alias("v"))
